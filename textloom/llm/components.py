@@ -17,20 +17,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     links = stash(edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "links")
+    mark = _mark(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Large star: every neighbour above u goes to the least of u and its neighbours.
-        large = both.join(least, "u").filter("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.distinct(), "links")
+        large = both.join(least.hint("merge"), "u").filter("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its neighbours below it go to the least of these.
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        small = stash(small, "links")
-        # Both are symmetric differences of sets of pairs: equal sums of hashes mean a fixed point.
-        if _mark(small) == _mark(links):
+        small = large.join(down.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
+        links = stash(small, "links")
+        # Equal counts and sums of hashes of pairs mean a fixed point.
+        last, mark = mark, _mark(links)
+        if mark == last:
             break
-        links = small
     own = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return own.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

@@ -10,11 +10,12 @@ into longs, and a hash of each band of full minima.  Then
 * the packed signatures give each pair an estimate of its similarity: XOR, fold,
   bit count, corrected for chance collisions of ``BITS``-bit values.  Pairs far
   below the threshold (``MARGIN``, about six standard deviations) go;
-* the other pairs are confirmed on whole sets: each class is first compared with
-  the centre that looks nearest, components are found, and what still joins
-  different components is compared;
-* members of a bucket that stayed outside its largest component are compared with
-  all members of other components there, so no link of a bucket is lost.
+* each class is compared on whole sets with the centre that looks nearest, which
+  gives a forest of confirmed links;
+* where a bucket still holds several trees, a prefix filter on the rarest shingles
+  of whole sets finds every pair across trees that can reach the threshold, so no
+  link of a bucket is lost and no group is paired with itself.  These pairs are
+  estimated and confirmed likewise, and trees joined by links are merged.
 
 At similarity 0.8 or more, a pair shares none of 32 bands of 4 minima with a
 probability under 5e-8.
@@ -131,40 +132,69 @@ def estimate(x, y):
     return (1 - differ / _N - chance) / (1 - chance)
 
 
-class _Links:
-    """Confirms candidate pairs and keeps the components found so far."""
+class _Pairs:
+    """Estimates and confirms candidate pairs (x > y)."""
 
     def __init__(self, docs, bits, n, percent):
         self.docs, self.bits, self.n, self.percent = docs, bits, n, percent
-        self.found, self.labels = None, None
 
     def likely(self, pairs):
-        """Candidate pairs (x > y) whose estimate isn't far below the threshold."""
+        """The distinct pairs whose estimate isn't far below the threshold."""
         x = self.bits.select(F.col("node").alias("x"), F.col("bits").alias("x_bits"))
         y = self.bits.select(F.col("node").alias("y"), F.col("bits").alias("y_bits"))
-        near = pairs.distinct().join(x, "x").join(y, "y").select("x", "y", estimate(F.col("x_bits"), F.col("y_bits")).alias("near"))
+        near = pairs.distinct().join(x.hint("merge"), "x").join(y.hint("merge"), "y").select("x", "y", estimate(F.col("x_bits"), F.col("y_bits")).alias("near"))
         return near.filter(F.col("near") >= self.percent / 100 - MARGIN)
 
-    def apart(self, pairs):
-        """The pairs whose ends are in different components so far."""
-        if self.labels is None:
-            return pairs
-        at = lambda c: self.labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-        both = pairs.join(at("x"), "x", "left").join(at("y"), "y", "left")
-        return both.filter(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select(*pairs.columns)
-
-    def confirm(self, pairs):
-        """Adds the links among ``pairs`` (a stored table) to the components."""
-        nodes = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
-        sets = self.docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").select(F.col("node").alias("doc_id"), "text").mapInArrow(partial(_full, n=self.n), "node long, hashes binary")
-        sets = stash(sets.filter("length(hashes) > 0"), "sets")
+    def sets(self, nodes):
+        """(node, hashes) of the nodes' texts; joins by merging at every size, as neither side has a bound."""
+        texts = self.docs.select(F.col("doc_id").alias("node"), "text").join(nodes.distinct().hint("merge"), "node", "left_semi")
+        return stash(texts.select(F.col("node").alias("doc_id"), "text").mapInArrow(partial(_full, n=self.n), "node long, hashes binary").filter("length(hashes) > 0"), "sets")
+
+    def confirmed(self, pairs, sets):
         x = sets.select(F.col("node").alias("x"), F.col("hashes").alias("x_set"))
         y = sets.select(F.col("node").alias("y"), F.col("hashes").alias("y_set"))
-        links = pairs.select("x", "y").join(x, "x").join(y, "y").mapInArrow(partial(_confirm, percent=self.percent), "x long, y long")
-        if self.found is not None:
-            links = links.unionByName(self.found)
-        self.found = stash(links.distinct(), "confirmed")
-        self.labels = stash(components(self.found, "x", "y"), "labels")
+        return pairs.select("x", "y").join(x.hint("merge"), "x").join(y.hint("merge"), "y").mapInArrow(partial(_confirm, percent=self.percent), "x long, y long").distinct()
+
+
+def _roots(parents):
+    """(node, component) of a forest of (x, y), y the parent of x, by pointer jumping."""
+    while True:
+        up = parents.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        jumped = stash(parents.join(up, "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")), "parents")
+        if jumped.filter("moved").isEmpty():
+            return jumped.select(F.col("x").alias("node"), F.col("y").alias("component"))
+        parents = jumped.select("x", "y")
+
+
+def _tokens(batches):
+    for batch in batches:
+        hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hashes")]
+        size = [len(x) for x in hashes]
+        nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(size)), size)))
+        yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["node", "token"])
+
+
+def _prefix_pairs(named, sets, percent):
+    """Pairs of nodes in different components that can reach the threshold.
+
+    Shingles are ordered by frequency among these nodes, rarest first.  Sets as
+    similar as the threshold share a shingle among the first |set| - ceil(t |set|) + 1
+    of either, so nodes whose rare shingles are their own pair with nothing, and
+    shingles inside one component pair nothing.  From the first shingle that a pair
+    shares on, both sets must have as many left as the threshold needs in common.
+    """
+    tokens = sets.mapInArrow(_tokens, "node long, token long")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = tokens.join(counts.hint("merge"), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
+    size = F.size("order")
+    prefix = F.transform(F.slice("order", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1), lambda t, i: F.struct(t["n"].alias("n"), t["token"].alias("token"), (size - i).alias("rest")))
+    rare = ordered.join(named.hint("merge"), "node").select("node", "component", size.alias("size"), F.explode(F.filter(prefix, lambda t: t["n"] > 1)).alias("t"))
+    rare = stash(rare.select("node", "component", "size", "t.token", "t.rest"), "prefixes")
+    met = rare.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("token")
+    rare = rare.join(met, "token")
+    p, q = (rare.select("token", F.col("node").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("component", "size", "rest"))) for c in "xy")
+    enough = (100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_size") + F.col("y_size"))
+    return p.join(q, "token").filter((F.col("x") > F.col("y")) & (F.col("x_component") != F.col("y_component")) & enough).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -176,35 +206,32 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stash(docs.mapInArrow(partial(_sketch, n=n), "doc_id long, n_shingles long, a long, b long, bands array<long>, bits array<long>"), "sketch")
     known = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
-    least = stash(classes, "classes")
-    heads = known.join(least.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    least = stash(known.groupBy("a", "b").agg(F.min("doc_id").alias("node")), "classes")
+    heads = known.join(least.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     members = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("bucket", "centre")
-    buckets = stash(members.join(shared, "bucket"), "buckets")
-    bits = heads.select(F.col("doc_id").alias("node"), "bits").join(buckets.select("node").distinct(), "node", "left_semi")
-    bits = stash(bits, "bits")
-    links = _Links(docs, bits, n, percent)
-    stars = stash(links.likely(buckets.filter("node > centre").select(F.col("node").alias("x"), F.col("centre").alias("y"))), "stars")
-    best = stars.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y"))
-    links.confirm(stash(best, "best"))
-    rest = stash(links.apart(stars.join(best, ["x", "y"], "left_anti")), "rest")
-    if not rest.isEmpty():
-        links.confirm(rest)
-    # What a bucket's centre couldn't join: everything outside the bucket's largest component against the others.
-    named = buckets.join(links.labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    parts = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("one"))
-    split = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("bucket", F.col("top.component").alias("largest"))
-    mixed = stash(named.join(split, "bucket"), "mixed")
-    odd = mixed.filter("component != largest").select("bucket", F.col("node").alias("p"), F.col("component").alias("p_in"))
-    cross = odd.join(mixed.select("bucket", F.col("node").alias("q"), F.col("component").alias("q_in")), "bucket").filter("p_in != q_in")
-    tested = stars.select("x", "y")
-    left = links.likely(cross.select(F.greatest("p", "q").alias("x"), F.least("p", "q").alias("y"))).join(tested, ["x", "y"], "left_anti")
-    left = stash(left, "left")
-    if not left.isEmpty():
-        links.confirm(left)
-    named = least.join(links.labels, "node", "left").select("a", "b", F.coalesce("component", "node").alias("component_id"))
-    ids = known.join(named, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
+    buckets = stash(members.join(shared.hint("merge"), "bucket"), "buckets")
+    bits = stash(heads.select(F.col("doc_id").alias("node"), "bits").join(buckets.select("node").distinct().hint("merge"), "node", "left_semi"), "bits")
+    pairs = _Pairs(docs, bits, n, percent)
+    # Each member with the centre that looks nearest: a forest, as centres are smaller.
+    stars = pairs.likely(buckets.filter("node > centre").select(F.col("node").alias("x"), F.col("centre").alias("y")))
+    best = stash(stars.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y")), "best")
+    ends = best.select(F.col("x").alias("node")).unionByName(best.select(F.col("y").alias("node")))
+    roots = _roots(stash(pairs.confirmed(best, pairs.sets(ends)).groupBy("x").agg(F.min("y").alias("y")), "forest"))
+    # Nodes of buckets that still hold several components: exact candidates, then the same confirmation.
+    own = F.coalesce("component", "node").alias("component")
+    named = buckets.select("bucket", "node").join(roots.hint("merge"), "node", "left").select("bucket", "node", own)
+    split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
+    mixed = stash(named.join(split.hint("merge"), "bucket").select("node", "component").distinct(), "mixed")
+    sets = pairs.sets(mixed.select("node"))
+    left = stash(pairs.likely(_prefix_pairs(mixed, sets, percent)), "left")
+    more = pairs.confirmed(left, sets)
+    at = lambda c: mixed.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")).hint("merge")
+    joined = components(more.join(at("x"), "x").join(at("y"), "y").select(F.col("x_in").alias("a"), F.col("y_in").alias("b")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    first = least.join(roots.hint("merge"), "node", "left").select("a", "b", own)
+    named = first.join(joined.hint("merge"), "component", "left").select("a", "b", F.coalesce("top", "component").alias("component_id"))
+    ids = known.select("doc_id", "n_shingles", "a", "b").join(named.hint("merge"), ["a", "b"]).select("doc_id", "n_shingles", "component_id")
     alone = sketch.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return ids.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
