@@ -142,10 +142,11 @@ def _match(batches, index, edits):
             end = np.repeat(w.offs[1:], w.counts)
             doc = w.doc_of()
             bits: dict[int, np.ndarray] = {}
+            look = (mix(w.hash, 1) & np.uint64(_MAP - 1)).astype(np.int32)
             for (rep, start, coords, keys, ids, _), levels in zip(index["reps"], unpacked):
                 if rep not in bits:
                     bits[rep] = _bits(w.hash, rep)
-                first = np.flatnonzero(levels[0][mix(w.hash, 1) & np.uint64(_MAP - 1)])
+                first = np.flatnonzero(levels[0][look])
                 at, key = _walk(w.hash, bits[rep], first, end[first], coords, levels)
                 lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 for p, a, b in zip(first[at[lo < hi]].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):

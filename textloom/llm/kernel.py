@@ -12,6 +12,8 @@ equal on every executor and in every run.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,6 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
-_POW: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes of words: all but ASCII white space; and letters, digits and non-ASCII.
 SPACE_WORDS = np.ones(256, dtype=bool)
@@ -34,9 +35,19 @@ ALNUM_WORDS[:0x80] = False
 ALNUM_WORDS[0x30:0x3A] = ALNUM_WORDS[0x61:0x7B] = ALNUM_WORDS[0x41:0x5B] = True
 
 
+def process_cache() -> dict:
+    """Values that stay in this process from task to task; code arrives anew with each task, so globals don't."""
+    name = "_textloom_process"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].values = {}
+    return sys.modules[name].values
+
+
 def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
-    have = _POW.get(kind)
+    cache = process_cache()
+    have = cache.get(kind)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         out = []
@@ -46,7 +57,7 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
             out.append(np.multiply.accumulate(a))
         if size > BLOCK_BYTES * 4:  # a giant document's tables don't stay
             return out[0][:n], out[1][:n]
-        have = _POW[kind] = (out[0], out[1])
+        have = cache[kind] = (out[0], out[1])
     return have[0][:n], have[1][:n]
 
 

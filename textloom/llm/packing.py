@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from functools import partial
 
 import numpy as np
@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernel import blocks
+from .kernel import blocks, process_cache
 from .shared import stash, table
 
-SPECIAL = b"<|endoftext|>"
 MEMO = 200_000
 
 
@@ -44,12 +43,11 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
         with open(path.replace(".json", ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
@@ -57,6 +55,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if "<|endoftext|>" in text:
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         memo, pieces = self.memo, text.split(" ")
         # The first piece has no space before it; an empty piece, or one that begins with white space, follows more white space.
@@ -77,11 +79,9 @@ class Encoder:
         return b"".join(map(memo.__getitem__, pieces))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _tokenise(batches, path, window):
-    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+    cache = process_cache()
+    encoder = cache.get(path) or cache.setdefault(path, Encoder(path))
     step = 4 * window
     for rows, data, offs in blocks(batches):
         raw, cuts = data.tobytes(), offs.tolist()
