@@ -18,7 +18,9 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from functools import partial
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .kernel import blocks, process_cache
 from .shared import stash, table
 
-MEMO = 200_000
+MEMO = 400_000
 
 
 class Encoder:
@@ -51,7 +53,10 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(piece), dtype="<u4").tobytes()
+        ids = array("I", self.fast.encode_ordinary(piece))
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|endoftext|>" in text:
@@ -60,23 +65,18 @@ class Encoder:
 
                 self.whole = Tokenizer.from_file(self.path)
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        memo, pieces = self.memo, text.split(" ")
-        # The first piece has no space before it; an empty piece, or one that begins with white space, follows more white space.
-        pieces[1:] = [" " + p for p in pieces[1:]]
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        if not all(len(p) > 1 and not p[1].isspace() for p in pieces[1:]):
-            return self._ids(text)
-        for p in pieces:
-            if p not in memo:
-                if len(memo) >= MEMO:
-                    return b"".join(memo.get(q) or self._ids(q) for q in pieces)
-                if len(p) > 64:
-                    return b"".join(memo.get(q) or self._ids(q) for q in pieces)
-                memo[p] = self._ids(p)
-        return b"".join(map(memo.__getitem__, pieces))
+        memo, (head, *pieces) = self.memo, text.split(" ")
+        out = list(map(memo.get, pieces))
+        if None in out:
+            for i, known in enumerate(out):
+                if known is None:
+                    p = pieces[i]
+                    if not p or p[0].isspace():  # more white space follows: not a place to cut
+                        return self._ids(text)
+                    out[i] = memo.get(p) or self._ids(" " + p)
+                    if len(memo) < MEMO and len(p) <= 64:
+                        memo[p] = out[i]
+        return self._ids(head) + b"".join(out)
 
 
 def _tokenise(batches, path, window):
