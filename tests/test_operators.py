@@ -134,6 +134,16 @@ def test_workspace_and_log(spark, tmp_path):
     assert (good.count(), bad.count()) == (1, 2)
 
 
+def test_database_references(spark):
+    known = spark.createDataFrame([("a.t", "t", "table", "a"), ("b.t", "t", "table", "b"), ("a.F", "F", "function", "a"), ("a.BIG", "BIG", "view", "a"), ("a.v", "v", "view", "a")], "id string, name string, kind string, datasource string")
+    rows = [("a.v", "view", "a", h, n) for h, n in (("token", "t"), ("token", "big"), ("token", "f"), ("token", "v"), ("logical", "a.t"), ("exact", "gone"), ("exact", None))]
+    rows += [("a.g", "trigger", "a", "exact", "a.F"), ("a.g", "trigger", "a", "logical", "a.F"), ("a.t", "table", "a", "logical", "b.t"), ("a.t", "table", "a", "exact", "a.t"), (None, "table", "a", "exact", "a.t")]
+    refs = spark.createDataFrame(rows, "source_id string, source_kind string, datasource string, how string, name string")
+    got = {tuple(r) for r in graph.database_references(refs, known).collect()}
+    assert got == {("a.v", "a.t", "reference", 0.9), ("a.v", "a.BIG", "reference", 0.8), ("a.v", "gone", "reference", 1.0), ("a.g", "a.F", "call", 1.0), ("a.t", "b.t", "foreign_key", 0.9)}
+    assert graph.database_references(refs.limit(0), known.limit(0)).count() == 0
+
+
 def test_grep_regions_merge(spark):
     files = spark.createDataFrame([("f", "\n".join(["hit"] + ["x"] * 3 + ["hit"] + ["x"] * 9))], "path string, content string")
     assert [(r["start"], r["end"], r["matches"]) for r in evaluate.grep_regions(files, "hit", 2).collect()] == [(0, 6, 2)]

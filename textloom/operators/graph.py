@@ -1,4 +1,4 @@
-"""Tiered resolution, exploring, dangling edges."""
+"""Tiered resolution, database references, exploring, dangling edges."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAME, NEAR, GLOBAL = 0.95, 0.90, 0.80
+#: Confidences of database references: fixed values.
+EXACT, LOGICAL, TOKEN = 1.0, 0.9, 0.8
 
 
 def resolve(calls: DataFrame, definitions: DataFrame, tier: Column, key: str = "name", most: int = 5) -> DataFrame:
@@ -25,6 +27,34 @@ def resolve(calls: DataFrame, definitions: DataFrame, tier: Column, key: str = "
     return kept.groupBy("source_id", "target_id").agg(F.max(confidence).alias("confidence"))
 
 
+def database_references(refs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(source_id, target_id, type, confidence) of references among database objects.
+
+    ``refs`` has source_id, source_kind, datasource, how and name; how is exact or logical
+    (name is an id, which may dangle) or token (a word of a definition).  ``definitions``
+    has id, name, kind and datasource.  A token names tables and views of its own
+    datasource; one that nothing anywhere is called is looked up in capitals instead.
+    The strongest of several references to a target stays, self references go.  Rows with
+    a null name or source_id give nothing.
+    """
+    refs = refs.select("source_id", "source_kind", "datasource", "how", "name").filter("name is not null and source_id is not null")
+    definitions = definitions.select("id", F.col("name").alias("called"), "kind", F.col("datasource").alias("home"))
+    kinds = definitions.select(F.col("id").alias("name"), "kind").filter("name is not null").dropDuplicates(["name"])
+    table = F.col("source_kind") == "table"
+    routine = F.col("kind").isin("function", "procedure")
+    exact = refs.filter("how = 'exact'").join(kinds, "name", "left")
+    exact = exact.select("source_id", F.col("name").alias("target_id"), F.when(table, "foreign_key").when(routine, "call").otherwise("reference").alias("type"), F.lit(EXACT).alias("confidence"))
+    logical = refs.filter("how = 'logical'").select("source_id", F.col("name").alias("target_id"), F.when(table, "foreign_key").otherwise("reference").alias("type"), F.lit(LOGICAL).alias("confidence"))
+    # Distinct names decide which spelling to look up; the datasource is part of the join's key, so a common name makes no pairs across datasources.
+    names = definitions.select(F.col("called").alias("name")).distinct().withColumn("known", F.lit(True))
+    words = refs.filter("how = 'token'").select("source_id", "datasource", "name").distinct().join(names, "name", "left")
+    words = words.select("source_id", F.col("datasource").alias("home"), F.when(F.col("known"), F.col("name")).otherwise(F.upper("name")).alias("called"))
+    tokens = words.join(definitions.filter("kind in ('table', 'view')"), ["called", "home"])
+    tokens = tokens.select("source_id", F.col("id").alias("target_id"), F.lit("reference").alias("type"), F.lit(TOKEN).alias("confidence"))
+    every = exact.unionByName(logical).unionByName(tokens).filter("source_id != target_id")
+    return every.groupBy("source_id", "target_id").agg(F.max_by("type", "confidence").alias("type"), F.max("confidence").alias("confidence"))
+
+
 def explore(edges: DataFrame, node: str, direction: str = "both", least: float = 0.85, page: int = 20, after: str | None = None, package: str = "") -> DataFrame:
     """One page of neighbours by section, confidence, own package first, id; keyset pagination."""
     uses = edges.filter(F.col("source_id") == node).select(F.lit(0).alias("section"), F.col("target_id").alias("id"), "type", "confidence")

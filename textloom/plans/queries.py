@@ -145,6 +145,27 @@ def tiered_resolve(spark, d):
     return graph.resolve(calls, known, F.when(F.col("s_nationkey") == F.col("c_nationkey"), 1).when(F.col("r") == F.col("q"), 2).otherwise(3))
 
 
+@query("""with d as (select 'n' || n_nationkey as id, n_name as name, case n_nationkey % 3 when 0 then 'table' when 1 then 'view' else 'function' end as kind, n_regionkey as datasource from nation),
+r as (select 's' || s_suppkey as source_id, case when s_suppkey % 2 = 0 then 'table' else 'trigger' end as source_kind, s_suppkey % 5 as datasource, s_nationkey + case when s_suppkey % 7 = 0 then 100 else 0 end as k, s_nationkey from supplier),
+e as (select source_id, 'n' || k as target_id, case when source_kind = 'table' then 'foreign_key' when kind = 'function' then 'call' else 'reference' end as type, 1.0::double as confidence from r left join d on id = 'n' || k
+union all select source_id, 'n' || ((k + 1) % 25), case when source_kind = 'table' then 'foreign_key' else 'reference' end, 0.9::double from r
+union all select source_id, id, 'reference', 0.8::double from r join nation n on n.n_nationkey = r.s_nationkey join d on d.name = n.n_name and d.datasource = r.datasource where d.kind in ('table', 'view'))
+select source_id, target_id, max_by(type, confidence) as type, max(confidence) as confidence from e group by 1, 2""")
+def database_references(spark, d):
+    nation = table(spark, d, "nation")
+    kind = F.when(F.col("n_nationkey") % 3 == 0, "table").when(F.col("n_nationkey") % 3 == 1, "view").otherwise("function")
+    known = nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), kind.alias("kind"), F.col("n_regionkey").alias("datasource"))
+    k = F.col("s_nationkey") + F.when(F.col("s_suppkey") % 7 == 0, 100).otherwise(0)
+    named = table(spark, d, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    refs = named.select(
+        F.concat(F.lit("s"), F.col("s_suppkey")).alias("source_id"),
+        F.when(F.col("s_suppkey") % 2 == 0, "table").otherwise("trigger").alias("source_kind"),
+        (F.col("s_suppkey") % 5).alias("datasource"),
+        F.inline(F.array(F.struct(F.lit("exact").alias("how"), F.concat(F.lit("n"), k).alias("name")), F.struct(F.lit("logical").alias("how"), F.concat(F.lit("n"), (k + 1) % 25).alias("name")), F.struct(F.lit("token").alias("how"), F.lower("n_name").alias("name")))),
+    )
+    return graph.database_references(refs, known)
+
+
 @query(f"with {EDGES_SQL}, s as (select 'nation.' || n_nationkey as id, n_nationkey as rank from nation where n_nationkey < 3) select rank, target_id, type from s join edges on source_id = id union all select rank, source_id, type from s join edges on target_id = id")
 def one_hop_expand(spark, d):
     seeds = table(spark, d, "nation").filter("n_nationkey < 3").select(F.concat(F.lit("nation."), F.col("n_nationkey")).alias("id"), F.col("n_nationkey").alias("rank"))
