@@ -144,6 +144,18 @@ def test_database_references(spark):
     assert graph.database_references(refs.limit(0), known.limit(0)).count() == 0
 
 
+def test_code_to_tables(spark):
+    known = [("a.job_posting", "job_posting", "table", "a"), ("a.USERS", "USERS", "view", "a"), ("a.log", "log", "table", "a"), ("b.log", "log", "table", "b"), ("a.f", "f", "function", "a")]
+    known = spark.createDataFrame(known + [(f"a{i}.x", "x", "table", "a") for i in range(6)] + [("a.X", "X", "table", "a")], "id string, name string, kind string, datasource string")
+    rows = [("c", "convention", "JobPosting"), ("c", "sql", "users"), ("c", "explicit", "log"), ("c", "explicit", "gone"), ("c", "sql", "gone2"), ("c", "sql", "x"), ("c", "client", "f"), ("c", "explicit", None)]
+    refs = spark.createDataFrame(rows, "source_id string, how string, name string")
+    got = {tuple(r) for r in graph.code_to_tables(refs, known, F.concat(F.lit("a."), F.col("name"))).collect()}
+    assert got == {("c", "a.job_posting", 0.8), ("c", "a.USERS", 0.9), ("c", "a.log", 0.8), ("c", "b.log", 0.8), ("c", "a.gone", 1.0)}
+    assert graph.code_to_tables(refs, known.limit(0)).count() == 0
+    names = spark.createDataFrame([("HTTPRoute",), ("jobID2Go",), ("",)], "n string")
+    assert [r[0] for r in names.select(graph.snake(F.col("n"))).collect()] == ["http_route", "job_id2_go", ""]
+
+
 def test_grep_regions_merge(spark):
     files = spark.createDataFrame([("f", "\n".join(["hit"] + ["x"] * 3 + ["hit"] + ["x"] * 9))], "path string, content string")
     assert [(r["start"], r["end"], r["matches"]) for r in evaluate.grep_regions(files, "hit", 2).collect()] == [(0, 6, 2)]

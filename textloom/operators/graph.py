@@ -1,4 +1,4 @@
-"""Tiered resolution, database references, exploring, dangling edges."""
+"""Tiered resolution, database references, exploring, dangling edges."""
 
 from __future__ import annotations
 
@@ -55,6 +55,40 @@ def database_references(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     return every.groupBy("source_id", "target_id").agg(F.max_by("type", "confidence").alias("type"), F.max("confidence").alias("confidence"))
 
 
+def snake(name: Column) -> Column:
+    """A CamelCase name in snake_case: JobPosting is job_posting, HTTPRoute is http_route."""
+    parted = F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])|(?<=.)(?=[A-Z][a-z])", "_")
+    return F.translate(parted, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def code_to_tables(refs: DataFrame, definitions: DataFrame, missing: Column | None = None, most: int = 5) -> DataFrame:
+    """(source_id, target_id, confidence) of code's references to tables and views.
+
+    ``refs`` has source_id, how (explicit, client, sql or convention) and name;
+    ``definitions`` has id, name, kind and datasource.  A name is looked up as it stands
+    and in capitals, one by convention also in snake_case and small letters.  More than
+    ``most`` targets drop the reference; targets in several datasources weaken it.
+    ``missing`` is the id that an explicit name without a target gets (none: no edge).
+    Rows with a null name or source_id give nothing.
+    """
+    refs = refs.select("source_id", "how", "name").filter("name is not null and source_id is not null").distinct()
+    known = definitions.filter("kind in ('table', 'view') and name is not null").select(F.col("name").alias("called"), "id", F.col("datasource").alias("home")).distinct()
+    # A name with too many targets settles its references by itself, so no reference meets more than ``most`` rows a spelling.
+    counts = known.groupBy("called").agg(F.count_distinct("id").alias("n"))
+    few = known.join(counts.filter(F.col("n") <= most), "called").select("called", "id", "home", F.lit(False).alias("many"))
+    targets = few.unionByName(counts.filter(F.col("n") > most).select("called", F.lit(None).cast("string").alias("id"), F.lit(None).cast(known.schema["home"].dataType).alias("home"), F.lit(True).alias("many")))
+    plain = F.array("name", F.upper("name"))
+    spelt = F.when(F.col("how") == "convention", F.concat(plain, F.array(snake(F.col("name")), F.lower("name")))).otherwise(plain)
+    met = refs.withColumn("called", F.explode(F.array_distinct(spelt))).join(targets, "called", "left")
+    found = met.groupBy("source_id", "how", "name").agg(F.collect_set("id").alias("ids"), F.min("home").alias("a"), F.max("home").alias("b"), F.max("many").alias("many"))
+    certain = F.when(F.col("how") == "explicit", EXACT).when(F.col("how").isin("client", "sql"), LOGICAL).otherwise(TOKEN)
+    sure = found.filter(~F.coalesce("many", F.lit(False)) & (F.size("ids") <= most))
+    edges = sure.select("source_id", F.explode("ids").alias("target_id"), F.when(F.col("a") == F.col("b"), certain).otherwise(TOKEN).alias("confidence"))
+    if missing is not None:
+        edges = edges.unionByName(sure.filter((F.size("ids") == 0) & (F.col("how") == "explicit")).select("source_id", missing.alias("target_id"), F.lit(EXACT).alias("confidence")))
+    return edges.filter("source_id != target_id").groupBy("source_id", "target_id").agg(F.max("confidence").alias("confidence"))
+
+
 def explore(edges: DataFrame, node: str, direction: str = "both", least: float = 0.85, page: int = 20, after: str | None = None, package: str = "") -> DataFrame:
     """One page of neighbours by section, confidence, own package first, id; keyset pagination."""
     uses = edges.filter(F.col("source_id") == node).select(F.lit(0).alias("section"), F.col("target_id").alias("id"), "type", "confidence")

@@ -166,6 +166,20 @@ def database_references(spark, d):
     return graph.database_references(refs, known)
 
 
+@query("""with d as (select 't' || n_nationkey as id, n_name as name, n_regionkey as home from nation union all select 'u' || n_nationkey, n_name, n_regionkey + 1 from nation where n_nationkey % 4 = 0),
+r as (select distinct 'c' || s_suppkey as source_id, case s_suppkey % 3 when 0 then 'explicit' when 1 then 'sql' else 'convention' end as how, n_name as name from supplier join nation on n_nationkey = s_nationkey),
+m as (select source_id, how, r.name, id, home from r join d on d.name = r.name),
+k as (select *, min(home) over (partition by source_id, how, name) = max(home) over (partition by source_id, how, name) as one from m)
+select source_id, id as target_id, max(case when one and how = 'explicit' then 1.0::double when one and how = 'sql' then 0.9::double else 0.8::double end) as confidence from k group by 1, 2""")
+def code_to_tables(spark, d):
+    nation = table(spark, d, "nation")
+    at = lambda p, k: nation.select(F.concat(F.lit(p), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.lit("table").alias("kind"), (F.col("n_regionkey") + k).alias("datasource"), "n_nationkey")
+    known = at("t", 0).unionByName(at("u", 1).filter("n_nationkey % 4 = 0"))
+    how = F.when(F.col("s_suppkey") % 3 == 0, "explicit").when(F.col("s_suppkey") % 3 == 1, "sql").otherwise("convention")
+    refs = table(spark, d, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("c"), F.col("s_suppkey")).alias("source_id"), how.alias("how"), F.lower("n_name").alias("name"))
+    return graph.code_to_tables(refs, known)
+
+
 @query(f"with {EDGES_SQL}, s as (select 'nation.' || n_nationkey as id, n_nationkey as rank from nation where n_nationkey < 3) select rank, target_id, type from s join edges on source_id = id union all select rank, source_id, type from s join edges on target_id = id")
 def one_hop_expand(spark, d):
     seeds = table(spark, d, "nation").filter("n_nationkey < 3").select(F.concat(F.lit("nation."), F.col("n_nationkey")).alias("id"), F.col("n_nationkey").alias("rank"))
