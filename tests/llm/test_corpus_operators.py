@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,45 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def edited(rng, words, n):
+    """The words after n random substitutions, deletions and insertions."""
+    out = list(words)
+    for _ in range(n):
+        i, how = rng.randrange(len(out)), rng.randrange(3)
+        out[i : i + (how < 2)] = [] if how == 1 else [f"e{rng.randrange(400)}"]
+    return out
+
+
+def test_decontamination_at_the_limit_of_edits(spark):
+    from textloom.llm.kernel import ALNUM_WORDS, Words
+
+    rng = random.Random(6)
+    items = [(i, prose(rng, 5 + 6 * i, "q")) for i in range(9)]
+    texts = []
+    for i, t in items:
+        w = t.split()
+        for j in range(10):
+            copy = " ".join(edited(rng, w, int(0.25 * len(w)) + (j == 9)))
+            texts.append((10 * i + j, f"{prose(rng, rng.randrange(40), 'q')} {copy} {prose(rng, rng.randrange(40), 'q')}"))
+
+    def hashes(t):
+        b = t.encode()
+        return Words(np.frombuffer(b, np.uint8), np.array([0, len(b)]), ALNUM_WORDS, lower=True).hash.tolist()
+
+    known = [(i, hashes(t)) for i, t in items]
+    want = set()
+    for d, t in texts:
+        text = hashes(t)
+        for i, x in known:
+            got = decontaminate.distance(x, text)
+            assert got[0] == decontaminate.nearest(x, text)
+            if got[0] <= int(0.25 * len(x)):
+                want.add((d, i, *got))
+    assert len({d for d, *_ in want if d % 10 < 9}) == 81  # every planted copy within the limit
+    out = decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_edit_distance():
     assert decontaminate.distance([1, 2, 3], [9, 1, 2, 3, 9]) == (0, 1, 4)
     assert decontaminate.distance([1, 2, 3], [9, 1, 3, 9])[0] == 1

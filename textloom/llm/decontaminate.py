@@ -1,15 +1,13 @@
-"""Benchmark decontamination by CGK embedding and bit sampling.
-
-A text is a sequence of lower-cased words.  The random-walk embedding of Chakraborty,
-Goldenberg and Koucky copies the word under a cursor at every step and moves the
-cursor by a random bit of (step, word), so that few edits become few differing
-coordinates.  A repetition samples some coordinates of the embedding; windows as
-large as an item that agree with the item on all of them are candidates.  Walks are
-started at every word of every document and given up as soon as the coordinates
-read so far belong to no item, so most end after one look.  Each repetition starts
-at another place of the item, and repetitions go on until the recall estimated on
-randomly edited items reaches ``recall``.  Candidates are verified by the exact edit
-distance (words) of the item to the best window there.
+"""Benchmark decontamination by exact pieces and edit distance.
+
+A text is a sequence of lower-cased words.  An item of n words that may differ by k
+edits is cut into k + 1 pieces; an edit spoils one piece at most, so every stretch
+within k edits of the item holds one of its pieces unchanged, at most k words from
+where the piece stands in the item.  Pieces are looked up by the hash of their words
+at every word of every document, one pass for each length of piece; the stretches
+around the hits, overlapping ones joined, are candidates.  Candidates are verified by
+the exact edit distance (words) of the item to the best window there.  So nothing
+within the limit is missed.
 
 Items travel in blocks of ``block``, collected one block at a time; every block is
 matched in one scan without any shuffle, and a hot passage costs what its rows cost.
@@ -29,88 +27,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import ALNUM_WORDS, Words, blocks, mix
+from .kernel import ALNUM_WORDS, Words, blocks
 from .shared import table
 
-SAMPLES, MOST = 4, 24
-_PAD = np.uint64(0x5851F42D4C957F2D)
-_MAP = 1 << 18
-
-
-def _bits(h: np.ndarray, rep: int) -> np.ndarray:
-    return mix(h, 0xC6A4A793 + rep)
-
+_MAP = 1 << 22
 
-def _walk(hash_, bits, pos, end, coords, levels=None):
-    """Keys of the sampled coordinates of walks from ``pos``; walks that fit no level go."""
-    at, key, step = np.arange(len(pos)), np.zeros(len(pos), np.uint64), 0
-    top = len(hash_) - 1
-    for i, c in enumerate(coords):
-        for t in range(step, c):
-            move = (bits[np.minimum(pos, top)] >> np.uint64(t % 64)) & np.uint64(1)
-            pos = pos + move.astype(pos.dtype)
-        step = c
-        word = np.where(pos < end, hash_[np.minimum(pos, top)], _PAD)
-        key = mix(key + word, i + 1)
-        if levels is not None:
-            ok = levels[i][key & np.uint64(_MAP - 1)]
-            at, key, pos, end = at[ok], key[ok], pos[ok], end[ok]
-    return at, key
 
-
-def _plan(size: int, rng) -> tuple[int, tuple[int, ...]]:
-    """Start in the item and coordinates of one repetition, for items of ``size`` words or a few more."""
-    start = int(rng.integers(0, max(1, size // 3)))
-    far = max(SAMPLES + 2, int(1.5 * (size - start)))
-    second = int(rng.integers(1, 4))
-    rest = sorted(rng.choice(np.arange(second + 1, far), SAMPLES - 2, replace=False).tolist())
-    return start, (0, second, *rest)
-
-
-def build(items: list[tuple[int, str]], rate: float, recall: float, least_words: int) -> dict:
-    """The index of a block of items: repetitions of each size class."""
+def build(items: list[tuple[int, str]], edits: float, least_words: int) -> dict:
+    """The index of a block of items: by length of piece its hashes, items and places in them."""
     texts = [t.encode() for _, t in items]
     offs = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
     w = Words(np.frombuffer(b"".join(texts), np.uint8), offs, ALNUM_WORDS, lower=True)
     words = {i: w.hash[w.offs[k] : w.offs[k + 1]] for k, (i, _) in enumerate(items) if w.counts[k] >= least_words}
-    classes: dict[int, list[int]] = {}
-    for i, x in words.items():
-        size = least_words
-        while size * 1.4 <= len(x):
-            size = int(np.ceil(size * 1.4))
-        classes.setdefault(size, []).append(i)
-    rng = np.random.default_rng(5)
-    reps = []
-    for size, ids in sorted(classes.items()):
-        caught, tries = np.zeros(0, bool), []
-        for i in ids:  # edited copies on which recall is estimated
-            for _ in range(max(1, 200 // len(ids))):
-                x = words[i].copy()
-                hit = rng.random(len(x))
-                x = np.where(hit < rate / 2, rng.integers(1, 1 << 63, len(x), dtype=np.uint64), x)
-                tries.append((i, x[(hit < rate / 2) | (hit >= rate * 3 / 4)], hit))
-        caught = np.zeros(len(tries), bool)
-        for rep in range(MOST):
-            start, coords = _plan(size, rng)
-            keys, levels = [], [np.zeros(_MAP, bool) for _ in coords]
-            for i in ids:
-                x = words[i]
-                b = _bits(x, rep)
-                for n in range(1, len(coords) + 1):
-                    _, key = _walk(x, b, np.array([start]), np.array([len(x)]), coords[:n])
-                    levels[n - 1][key & np.uint64(_MAP - 1)] = True
-                keys.append(key[0])
-            order = np.argsort(np.array(keys, np.uint64), kind="stable")
-            keys = np.array(keys, np.uint64)[order]
-            reps.append((rep, start, coords, keys, np.array(ids)[order], [np.packbits(x) for x in levels]))
-            for j, (i, x, _) in enumerate(tries):
-                if not caught[j] and len(x):
-                    _, got = _walk(x, _bits(x, rep), np.arange(len(x)), np.full(len(x), len(x)), coords)
-                    own = keys[np.searchsorted(keys, got) % len(keys)] == got
-                    caught[j] = bool(own.any())
-            if caught.mean() >= recall and rep >= 3:
-                break
-    return {"words": words, "reps": reps}
+    places: dict[int, list[tuple[int, int, int]]] = {}
+    for k, (i, _) in enumerate(items):
+        if i in words:
+            n = int(w.counts[k])
+            parts = int(edits * n) + 1
+            cuts = [n * j // parts for j in range(parts + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                places.setdefault(b - a, []).append((int(w.offs[k]) + a, i, a))
+    pieces = []
+    for size, rows in sorted(places.items()):
+        at, ids, starts = (np.array(x, np.int64) for x in zip(*rows))
+        keys = w.grams(size)[0][at]
+        order = np.argsort(keys, kind="stable")
+        pieces.append((size, keys[order], ids[order], starts[order]))
+    return {"words": words, "pieces": pieces}
+
+
+def nearest(item: list[int], text: list[int]) -> int:
+    """Edit distance of the item to the nearest stretch of the text (bit-parallel, Myers)."""
+    n = len(item)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    same: dict[int, int] = {}
+    for i, x in enumerate(item):
+        same[x] = same.get(x, 0) | 1 << i
+    up, down, d = full, 0, n
+    best = d
+    for x in text:
+        eq = same.get(x, 0)
+        flat = (((eq & up) + up) ^ up) | eq
+        more = down | (~(flat | up) & full)
+        less = up & flat
+        d += bool(more & top) - bool(less & top)
+        if d < best:
+            best = d
+        eq |= down
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (~(eq | more) & full), more & eq
+    return best
 
 
 def distance(item: list[int], text: list[int]) -> tuple[int, int, int]:
@@ -133,41 +99,44 @@ def distance(item: list[int], text: list[int]) -> tuple[int, int, int]:
 
 def _match(batches, index, edits):
     words = index["words"]
-    sets = {i: set(x.tolist()) for i, x in words.items()}
-    unpacked = [[np.unpackbits(x).view(bool) for x in r[5]] for r in index["reps"]]
+    lists = {i: x.tolist() for i, x in words.items()}
+    sets = {i: set(x) for i, x in lists.items()}
+    most = {i: int(edits * len(x)) for i, x in lists.items()}
+    maps = []
+    for _, keys, _, _ in index["pieces"]:
+        maps.append(np.zeros(_MAP, bool))
+        maps[-1][keys & np.uint64(_MAP - 1)] = True
     for rows, data, offs in blocks(batches):
         w = Words(data, offs, ALNUM_WORDS, lower=True)
         found: dict[tuple[int, int], set[int]] = {}
-        if len(w.hash):
-            end = np.repeat(w.offs[1:], w.counts)
-            doc = w.doc_of()
-            bits: dict[int, np.ndarray] = {}
-            look = (mix(w.hash, 1) & np.uint64(_MAP - 1)).astype(np.int32)
-            for (rep, start, coords, keys, ids, _), levels in zip(index["reps"], unpacked):
-                if rep not in bits:
-                    bits[rep] = _bits(w.hash, rep)
-                first = np.flatnonzero(levels[0][look])
-                at, key = _walk(w.hash, bits[rep], first, end[first], coords, levels)
-                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for p, a, b in zip(first[at[lo < hi]].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
-                    for i in ids[a:b].tolist():
-                        found.setdefault((int(doc[p]), i), set()).add(p - start)
+        doc = w.doc_of()
+        for (size, keys, ids, starts), known in zip(index["pieces"], maps):
+            grams, ok = w.grams(size)
+            at = np.flatnonzero(known[grams & np.uint64(_MAP - 1)] & ok)
+            lo, hi = np.searchsorted(keys, grams[at], "left"), np.searchsorted(keys, grams[at], "right")
+            hit = lo < hi
+            for p, d, a, b in zip(at[hit].tolist(), doc[at[hit]].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                for i, start in zip(ids[a:b].tolist(), starts[a:b].tolist()):
+                    found.setdefault((d, i), set()).add(p - start)
         out = []
         for (d, i), places in found.items():
-            x, most, best, seen = words[i], int(edits * len(words[i])), None, -1
+            x, k, low, high = lists[i], most[i], int(w.offs[d]), int(w.offs[d + 1])
+            stretches: list[list[int]] = []
             for p in sorted(places):
-                a, b = max(int(w.offs[d]), p - most), min(int(w.offs[d + 1]), p + len(x) + most)
-                if p <= seen:
+                a, b = max(low, p - k), min(high, p + len(x) + k)
+                # An edit takes away one of the item's words at most.
+                if len(sets[i].intersection(w.hash[a:b].tolist())) < len(sets[i]) - k:
                     continue
+                if stretches and a <= stretches[-1][1]:
+                    stretches[-1][1] = b
+                else:
+                    stretches.append([a, b])
+            best = None
+            for a, b in stretches:
                 text = w.hash[a:b].tolist()
-                if len(sets[i].intersection(text)) < len(sets[i]) - most:
-                    continue
-                got = distance(x.tolist(), text)
-                seen = p + most // 2
-                if got[0] <= most and (best is None or got[0] < best[0]):
-                    best = (got[0], a - int(w.offs[d]) + got[1], a - int(w.offs[d]) + got[2])
-                    if not got[0]:
-                        break
+                if nearest(x, text) <= (k if best is None else best[0] - 1):
+                    got = distance(x, text)
+                    best = (got[0], a - low + got[1], a - low + got[2])
             if best is not None:
                 out.append((d, i, *best))
         out.sort()
@@ -176,12 +145,13 @@ def _match(batches, index, edits):
         yield pa.RecordBatch.from_arrays([take, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "item_id", "edits", "first_word", "last_word"])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25, rate: float = 0.1, recall: float = 0.97, least_words: int = 5, block: int = 20000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25, least_words: int = 5, block: int = 20000) -> DataFrame:
     """(doc_id, item_id, edits, first_word, last_word): each item in each document, where it is nearest.
 
-    An item is in a document if some window is within ``edits`` * its words of it.
-    ``recall`` is the share of copies with a share ``rate`` of edited words to reach.
+    An item is in a document if some window is within ``edits`` * its words of it; 0 <= edits < 1.
     """
+    if not 0 <= edits < 1:
+        raise ValueError(f"edits must be a share of 0 to below 1, not {edits}")
     schema = "doc_id long, item_id long, edits long, first_word long, last_word long"
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -196,7 +166,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25, rate: flo
         for group in [list(own.items()), *([x] for x in again)]:
             if not group:
                 continue
-            index = docs.sparkSession.sparkContext.broadcast(build(group, rate, recall, least_words))
+            index = docs.sparkSession.sparkContext.broadcast(build(group, edits, least_words))
             df = docs.mapInArrow(partial(_leaks, index=index, edits=edits), schema)
             out = df if out is None else out.unionByName(df)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
