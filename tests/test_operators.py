@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import changes, evaluate, graph, knowledge, lexical, usage
+from textloom.operators import changes, evaluate, graph, knowledge, lexical, usage, vector
 from textloom.plans import queries
 from textloom.sources import formats
 from textloom.streaming import changes as live
@@ -57,6 +57,18 @@ def test_bm25_ties_and_no_match(spark):
     assert [(r["query_id"], r["doc_id"]) for r in out] == [(0, 1), (0, 2)] and out[0]["score"] == out[1]["score"]
 
 
+def test_nearest_neighbours_of_all_stated_queries(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    stated = {r["vec_id"] for r in rows.filter("vec_id % 50 = 0").select("vec_id").collect()}
+    assert len(stated) > 1 and {r["query_id"] for r in queries.QUERIES["knn_batch"](spark, SF).select("query_id").distinct().collect()} == stated
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    every = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
+    assert every(vector.knn_blocks(rows.repartition(3), asked, 4, block=15)) == every(vector.knn(rows, asked, 4))
+    odd = spark.createDataFrame([(3, [1.0, 0.0]), (2, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r["vec_id"]) for r in vector.knn_blocks(odd, odd.filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 9).orderBy("rank").collect()] == [(1, 2), (2, 3), (3, 4)]
+    assert vector.knn_blocks(odd.limit(0), asked.limit(0), 2).count() == 0
+
+
 def test_fusion(spark):
     streams = spark.createDataFrame([("lexical", 1, 1), ("semantic", 1, 2), ("semantic", 2, 1)], "stream string, id long, rank int")
     out = lexical.fuse(streams, spark.createDataFrame([(60,)], "k int"), 5).orderBy("rank").collect()

@@ -92,6 +92,13 @@ def knn_topk(spark, d):
     return vector.knn(v, asked, 10).select("query_id", "rank", "vec_id", "score")
 
 
+@query(f"with {_KNN.replace('vec_id < 5', 'vec_id % 50 = 0')} select * from knn where rank <= 10")
+def knn_batch(spark, d):
+    v = table(spark, d, "embeddings")
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.knn_blocks(v, asked, 10).select("query_id", "rank", "vec_id", "score")
+
+
 _LEX = _bm25_sql("select 0::bigint as query_id, unnest(['the', 'of', 'nation']) as term", 30)
 
 
