@@ -125,6 +125,12 @@ def test_licenses(docs):
     assert labels[19][0] == "mit" and labels[19][1] > 0.9 and labels[18][0] == "apache,cc-by,mit"
 
 
+def test_licenses_in_tables_of_few_words(spark):
+    for n, text in enumerate(("MIT", "MIT License", "the MIT License")):
+        docs = spark.createDataFrame([(7, text)], "doc_id long, text string").coalesce(1)
+        assert got(licenses.scan_licenses(docs), "doc_id", "n_words", "n_base", "base_labels") == [(7, n + 1, int(n > 0), "mit" if n else "")]
+
+
 def luhn(x):
     digits = [int(c) for c in reversed(x)]
     return sum(digits[::2]) + sum(sum(divmod(2 * c, 10)) for c in digits[1::2])

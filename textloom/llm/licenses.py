@@ -67,7 +67,7 @@ def _base(batches):
         for rule, _ in rules:
             ok = w.hash == rule[0]
             for i in range(1, len(rule)):
-                ok[: n - i] &= w.hash[i:] == rule[i]
+                ok[: max(0, n - i)] &= w.hash[i:] == rule[i]
                 ok[max(0, n - i) :] = False
             at = np.flatnonzero(ok)
             places.append(at[at + len(rule) <= end[at]])
