@@ -25,9 +25,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group of near duplicates (five words, similarity 0.8)."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    """One document, the least doc_id, of each group of near duplicates (five words, similarity 0.8).
+
+    Rows of one doc_id and text count as one; several texts of a doc_id are documents each.
+    """
+    nodes = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).withColumn("node", F.col("doc_id").cast("long"))
+    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    if texts.filter("low <> high").isEmpty():
+        found = near_duplicates(docs)
+    else:  # ids of their own, in the order of doc_id
+        nodes = stash(nodes.orderBy("doc_id", "text").withColumn("node", F.monotonically_increasing_id()), "nodes")
+        found = near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text"))
+    kept = found.filter("kept").select(F.col("doc_id").alias("node")).distinct()
+    return nodes.join(kept, "node", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -308,6 +308,18 @@ def test_pipeline(spark):
     assert pieces.select("doc_id").distinct().count() == kept.count()
 
 
+def test_pipeline_keeps_each_text_of_a_repeated_id(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(8)
+    a, b, d, e = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, d), (3, e), (4, e + " end"), (5, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(1, a), (2, b), (3, d), (3, e), (5, None), (None, a)]
+    for parts in (1, 4):
+        assert got(c.near_duplicate(spark, docs.repartition(parts), SF), "doc_id", "text") == sorted(want, key=repr)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
 def test_sql(spark):
     import duckdb
