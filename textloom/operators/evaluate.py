@@ -1,4 +1,4 @@
-"""Reading costs and exploration baselines."""
+"""Reading costs and exploration baselines (A22-A24, W8, T11, E3, E4, F8 in part)."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ def savings(nav: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def derive_queries(issues: DataFrame, n: int = 5) -> DataFrame:
-    """(issue_id, rank, query): the first line, then identifiers by frequency; distinct, ``n`` at most."""
+    """F8 without backtick spans, A24: (issue_id, rank, query): the first line, then identifiers by frequency; distinct, ``n`` at most."""
     title = issues.select("issue_id", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("n"), F.substring(F.trim(F.split("text", "\n").getItem(0)), 1, 120).alias("query"))
     words = issues.select("issue_id", F.explode(F.split("text", r"[^A-Za-z0-9_.]+", -1)).alias("query")).filter(is_identifier_shaped(F.col("query")))
     names = words.groupBy("issue_id", "query").agg(F.count(F.lit(1)).alias("n")).select("issue_id", F.lit(1).alias("tier"), "n", "query")

@@ -1,4 +1,4 @@
-"""Tiered resolution, database references, exploring, dangling edges."""
+"""Tiered resolution, database references, exploring, dangling edges (J4 without arity, J8-J10, T4, T5, T12, A4-A7, G2-G8, X8)."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ EXACT, LOGICAL, TOKEN = 1.0, 0.9, 0.8
 
 
 def resolve(calls: DataFrame, definitions: DataFrame, tier: Column, key: str = "name", most: int = 5) -> DataFrame:
-    """(source_id, target_id, confidence) of the strongest non-empty tier of each call.
+    """J4 without the arity range: (source_id, target_id, confidence) of the strongest non-empty tier of each call.
 
     ``tier`` is 1 (same package), 2 (imported) or 3 (global) of a joined pair; more
     than ``most`` global candidates drop all of them.  Self edges go.

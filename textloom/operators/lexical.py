@@ -1,4 +1,4 @@
-"""Inverted index, BM25, exact tier, candidate pools and rank fusion."""
+"""Inverted index, BM25, exact tier, candidate pools and rank fusion."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Tool-call logs: streams, elements, windows, runs, outcomes."""
+"""Tool-call logs: streams, elements, windows, runs, outcomes (W1-W5, W6 in part, W7, A10, A11, A14-A17, J15, T6)."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ def windows(rows: DataFrame) -> DataFrame:
 
 
 def nav_runs(rows: DataFrame) -> DataFrame:
-    """A row for each maximal run of nav rows of a window, with its outcome.
+    """W5, W6 in part: a row for each maximal run of nav rows of a window, with its outcome.
 
     The first decisive row after the run decides: search is a fallback, read or action an
     adoption, nav means the run merged into the next; at the window's end it is
