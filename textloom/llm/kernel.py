@@ -2,9 +2,11 @@
 
 Everything here works on whole blocks of documents at once: a block is a slice of
 an Arrow batch with at most ``BLOCK_BYTES`` of text (one longer document makes a
-block of its own, so no text is ever cut).  Word hashes are polynomial
-(Rabin-Karp) hashes modulo 2**64 over a random byte table, computed from one
-prefix sum, so the cost is a few nanoseconds a byte with no Python loop over words.
+block of its own, so no text is ever cut).  A word's hash chains its bytes, eight at
+a time, through a bijection that isn't linear (words of over ``LONG`` bytes take
+BLAKE2b).  Long runs of words have Rabin-Karp hashes modulo the prime 2**31 - 1, two
+lanes a hash, from prefix sums; short ones are chained.  No modulus is a power of two,
+for which strings like Thue-Morse's collide whatever the base.
 
 Nulls count as empty texts.  Hashes depend on the constants below only, hence are
 equal on every executor and in every run.
@@ -12,6 +14,7 @@ equal on every executor and in every run.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Iterator
@@ -20,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
+BLOCK_BYTES = 1 << 20
+LONG, CHAINED = 64, 8
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What is kept of eight bytes loaded when only so many belong to the word.
+_PART = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+_P = np.uint64((1 << 31) - 1)
+_LANES = [int(x) for x in np.random.default_rng(20240607).integers(1 << 20, int(_P), 4)]
 
 #: Bytes of words: all but ASCII white space; and letters, digits and non-ASCII.
 SPACE_WORDS = np.ones(256, dtype=bool)
@@ -44,20 +49,26 @@ def process_cache() -> dict:
     return sys.modules[name].values
 
 
-def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    x = (x & _P) + (x >> np.uint64(31))
+    return x - _P * (x >= _P)
+
+
+def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a lane's base and of its inverse modulo 2**31 - 1."""
     cache = process_cache()
-    have = cache.get(kind)
+    have = cache.get(("powers", lane))
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for base in (_BASE[kind], pow(_BASE[kind], -1, 1 << 64)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        if size > BLOCK_BYTES * 4:  # a giant document's tables don't stay
+        size, out = max(n, 1 << 16), []
+        for base in (_LANES[lane], pow(_LANES[lane], -1, int(_P))):
+            a = np.ones(1, dtype=np.uint64)
+            while len(a) < size:
+                a = np.concatenate((a, _mod(a * np.uint64(pow(base, len(a), int(_P))))))
+            out.append(a[:size])
+        if size > BLOCK_BYTES:  # a giant document's tables don't stay
             return out[0][:n], out[1][:n]
-        have = cache[kind] = (out[0], out[1])
+        have = cache[("powers", lane)] = (out[0], out[1])
     return have[0][:n], have[1][:n]
 
 
@@ -97,6 +108,24 @@ def blocks(batches, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tu
             i = j
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64), 0x5DEECE66D)
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero(size <= LONG)
+    at, left = starts[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eight[at] & _PART[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """The words of a block: byte ranges, hashes, and each document's range of words."""
 
@@ -111,26 +140,37 @@ class Words:
         last[:-1] &= ~inside[1:] | edge[1:n]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.offs = np.searchsorted(self.starts, offs)  # n docs + 1
-        up, down = powers("byte", n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up, out=sums[1:])
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts]) if n else np.zeros(0, np.uint64)
+        self.hash = word_hashes(_LOWER[data] if lower else data, self.starts, self.ends)
         self.counts = np.diff(self.offs)
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def within(self, k: int) -> np.ndarray:
+        """Whether the k words from each word on lie in its document."""
+        return np.arange(len(self.hash)) + k <= np.repeat(self.offs[1:], self.counts)
+
     def grams(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the k words from each word on, and whether all k lie in its document."""
+        """Hash of the k words from each word on, and whether all k lie in its document.
+
+        Hashes of even and odd salts come from different lanes: two of them make 128 bits.
+        """
         n = len(self.hash)
-        up, down = powers("word", n)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.hash * up, out=sums[1:])
         out = np.zeros(n, dtype=np.uint64)
-        if n >= k:
-            out[: n - k + 1] = mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1], salt ^ (k * 0x9E3779B9))
-        ok = np.arange(n) + k <= np.repeat(self.offs[1:], self.counts)
-        return out, ok
+        m = n - k + 1
+        if m > 0 and k <= CHAINED:
+            h = np.full(m, (salt * 0x9E3779B97F4A7C15 + k) & (1 << 64) - 1, dtype=np.uint64)
+            for i in range(k):
+                h = mix(h ^ self.hash[i : i + m], salt & 1)
+            out[:m] = h
+        elif m > 0:
+            for lane, word in ((0, self.hash >> np.uint64(33)), (1, self.hash & _P)):
+                up, down = powers(2 * (salt & 1) + lane, n)
+                sums = np.zeros(n + 1, dtype=np.uint64)
+                np.cumsum(_mod(_mod(word) * up), out=sums[1:])
+                out[:m] = (out[:m] << np.uint64(32)) | _mod(_mod(sums[k:] - sums[:m]) * down[:m])
+            out[:m] = mix(out[:m], (salt * 0x9E3779B97F4A7C15 + k) & (1 << 64) - 1)
+        return out, self.within(k)
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -143,7 +183,3 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
         span *= 2
     rest = w - span
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
-
-
-def signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
