@@ -22,12 +22,14 @@ probability under 5e-8.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and
 link with nothing; fewer words than a shingle give one shingle, the whole text;
-rows sharing a doc_id are one node; rows with a null doc_id link with nothing;
-other columns are ignored; an empty table gives an empty result.
+rows sharing a doc_id are one node; rows with a null doc_id link with nothing; of
+centres that look equally near, the greater counts; texts of any length are hashed
+whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 import numpy as np
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import Words, blocks, mix
-from .shared import stash, table
+from .shared import lean, stash, table
 
 BANDS, ROWS, BITS, MARGIN = 32, 4, 4, 0.2
 _N = BANDS * ROWS
+_SLICE = 1 << 16
 _rng = np.random.default_rng(9)
 _XOR = _rng.integers(0, 1 << 32, _N, dtype=np.uint64).astype(np.uint32)
 _MUL = _rng.integers(0, 1 << 32, _N, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -81,6 +84,9 @@ def _sketch(batches, n):
                 minima[:, i] = np.minimum.reduceat((low ^ _XOR[i]) * _MUL[i], starts)
             a[full] = np.add.reduceat(mix(hashes, 1), starts)
             b[full] = np.add.reduceat(mix(hashes, 2), starts)
+            for i in np.flatnonzero(size == 1):  # very many texts are that short: their class is that of their words themselves
+                words = data[offs[i] : offs[i + 1]].tobytes().lower().split()
+                b[i] = int.from_bytes(hashlib.blake2b(b" ".join(words[:n] if len(words) > n else words), digest_size=8).digest(), "little")
         kept = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint64)
         packed = (kept.reshape(d, -1, 64 // BITS) * weights).sum(axis=2, dtype=np.uint64)
         wide = minima.astype(np.uint64).reshape(d, BANDS, ROWS)
@@ -167,11 +173,26 @@ def _roots(parents):
 
 
 def _tokens(batches):
+    """The tokens of each set, in parts of ``_SLICE`` at most."""
     for batch in batches:
-        hashes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hashes")]
-        size = [len(x) for x in hashes]
-        nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(size)), size)))
-        yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], names=["node", "token"])
+        for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes")):
+            tokens = np.frombuffer(raw.as_buffer(), np.int64)
+            for at in range(0, len(tokens), _SLICE):
+                part = tokens[at : at + _SLICE]
+                yield np.full(len(part), node, np.int64), part
+
+
+def _token_rows(batches):
+    nodes, tokens, n = [], [], 0
+    for node, part in _tokens(batches):
+        nodes.append(node)
+        tokens.append(part)
+        n += len(part)
+        if n >= _SLICE:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(tokens))], names=["node", "token"])
+            nodes, tokens, n = [], [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(tokens))], names=["node", "token"])
 
 
 def _prefix_pairs(named, sets, percent):
@@ -183,18 +204,19 @@ def _prefix_pairs(named, sets, percent):
     shingles inside one component pair nothing.  From the first shingle that a pair
     shares on, both sets must have as many left as the threshold needs in common.
     """
-    tokens = sets.mapInArrow(_tokens, "node long, token long")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ordered = tokens.join(counts.hint("merge"), "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("order"))
+    tokens = sets.mapInArrow(_token_rows, "node long, token long")
+    # Written, so that joins by token read plain exchanges: those are split where a token is hot, aggregates aren't.
+    counts = stash(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    ordered = tokens.join(counts.hint("merge"), "token", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("order"))
     size = F.size("order")
     prefix = F.transform(F.slice("order", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1), lambda t, i: F.struct(t["n"].alias("n"), t["token"].alias("token"), (size - i).alias("rest")))
     rare = ordered.join(named.hint("merge"), "node").select("node", "component", size.alias("size"), F.explode(F.filter(prefix, lambda t: t["n"] > 1)).alias("t"))
     rare = stash(rare.select("node", "component", "size", "t.token", "t.rest"), "prefixes")
     met = rare.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("token")
-    rare = rare.join(met, "token")
+    rare = stash(rare.join(stash(met, "met").hint("merge"), "token"), "met")
     p, q = (rare.select("token", F.col("node").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("component", "size", "rest"))) for c in "xy")
     enough = (100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_size") + F.col("y_size"))
-    return p.join(q, "token").filter((F.col("x") > F.col("y")) & (F.col("x_component") != F.col("y_component")) & enough).select("x", "y")
+    return p.join(q.hint("merge"), "token").filter((F.col("x") > F.col("y")) & (F.col("x_component") != F.col("y_component")) & enough).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -203,6 +225,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if 100 * |common shingles| >= percent * |all shingles|;
     component_id is the least doc_id that links reach.
     """
+    lean(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stash(docs.mapInArrow(partial(_sketch, n=n), "doc_id long, n_shingles long, a long, b long, bands array<long>, bits array<long>"), "sketch")
     known = sketch.filter("n_shingles > 0 and doc_id is not null")
@@ -216,15 +239,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # Each member with the centre that looks nearest: a forest, as centres are smaller.
     stars = pairs.likely(buckets.filter("node > centre").select(F.col("node").alias("x"), F.col("centre").alias("y")))
     best = stash(stars.groupBy("x").agg(F.max_by("y", F.struct("near", "y")).alias("y")), "best")
-    ends = best.select(F.col("x").alias("node")).unionByName(best.select(F.col("y").alias("node")))
-    roots = _roots(stash(pairs.confirmed(best, pairs.sets(ends)).groupBy("x").agg(F.min("y").alias("y")), "forest"))
+    sets = pairs.sets(buckets.select("node"))
+    roots = _roots(stash(pairs.confirmed(best, sets).groupBy("x").agg(F.min("y").alias("y")), "forest"))
     # Nodes of buckets that still hold several components: exact candidates, then the same confirmation.
     own = F.coalesce("component", "node").alias("component")
     named = buckets.select("bucket", "node").join(roots.hint("merge"), "node", "left").select("bucket", "node", own)
     split = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("bucket")
     mixed = stash(named.join(split.hint("merge"), "bucket").select("node", "component").distinct(), "mixed")
-    sets = pairs.sets(mixed.select("node"))
-    left = stash(pairs.likely(_prefix_pairs(mixed, sets, percent)), "left")
+    left = stash(pairs.likely(_prefix_pairs(mixed, sets.join(mixed.select("node").hint("merge"), "node", "left_semi"), percent)), "left")
     more = pairs.confirmed(left, sets)
     at = lambda c: mixed.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")).hint("merge")
     joined = components(more.join(at("x"), "x").join(at("y"), "y").select(F.col("x_in").alias("a"), F.col("y_in").alias("b")))
