@@ -1,25 +1,34 @@
-"""Benchmark decontamination by exact pieces and edit distance.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
 
-A text is a sequence of lower-cased words.  An item of n words that may differ by k
-edits is cut into k + 1 pieces; an edit spoils one piece at most, so every stretch
-within k edits of the item holds one of its pieces unchanged, at most k words from
-where the piece stands in the item.  Pieces are looked up by the hash of their words
-at every word of every document, one pass for each length of piece; the stretches
-around the hits, overlapping ones joined, are candidates.  Candidates are verified by
-the exact edit distance (words) of the item to the best window there.  So nothing
-within the limit is missed.
+A text is a sequence of lower-cased words.  The CGK embedding walks over it: every
+step writes down the word it stands on, and a random bit that depends on the step
+and the word says whether it moves to the next one.  Where two texts are alike their
+walks agree, and after an edit they fall in step again, so edit distance becomes
+Hamming distance.  A repetition is a walk of its own and samples ``m`` of its first
+steps; the words there are the key.  Walks start at every word of every document and
+at every word of every item; equal keys make the item-sized stretch of the document
+a candidate, ``edits`` * words wider at both ends.  Candidates are verified by the
+exact edit distance (words) of the item to the best window inside.
+
+Before anything is scanned, ``build`` plants copies of its items inside other words,
+with as many edits as are accepted (substitutions, deletions and insertions alike),
+and adds repetitions until ``target`` of them are candidates through keys of their
+own item at their own place; it fails if ``MOST`` repetitions don't reach it.
 
 Items travel in blocks of ``block``, collected one block at a time; every block is
 matched in one scan without any shuffle, and a hot passage costs what its rows cost.
 
 Defined cases: null and empty texts match nothing; items with fewer than
-``least_words`` words are too short to tell and match nothing; rows with a null id
-match nothing; repeated rows give repeated results; texts of any length are scanned
-whole; empty tables give an empty result; other columns are ignored.
+``least_words`` words are too short to tell and match nothing; items with a null id
+or text match nothing; rows with a null doc_id are searched like others; several texts
+of an item_id are items each; repeated rows give repeated results; of equally near
+windows the one that ends first counts; texts of any length are scanned whole; empty
+tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 from functools import partial
 
 import numpy as np
@@ -27,33 +36,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import ALNUM_WORDS, Words, blocks
-from .shared import table
-
-_MAP = 1 << 22
-
-
-def build(items: list[tuple[int, str]], edits: float, least_words: int) -> dict:
-    """The index of a block of items: by length of piece its hashes, items and places in them."""
-    texts = [t.encode() for _, t in items]
-    offs = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
-    w = Words(np.frombuffer(b"".join(texts), np.uint8), offs, ALNUM_WORDS, lower=True)
-    words = {i: w.hash[w.offs[k] : w.offs[k + 1]] for k, (i, _) in enumerate(items) if w.counts[k] >= least_words}
-    places: dict[int, list[tuple[int, int, int]]] = {}
-    for k, (i, _) in enumerate(items):
-        if i in words:
-            n = int(w.counts[k])
-            parts = int(edits * n) + 1
-            cuts = [n * j // parts for j in range(parts + 1)]
-            for a, b in zip(cuts, cuts[1:]):
-                places.setdefault(b - a, []).append((int(w.offs[k]) + a, i, a))
-    pieces = []
-    for size, rows in sorted(places.items()):
-        at, ids, starts = (np.array(x, np.int64) for x in zip(*rows))
-        keys = w.grams(size)[0][at]
-        order = np.argsort(keys, kind="stable")
-        pieces.append((size, keys[order], ids[order], starts[order]))
-    return {"words": words, "pieces": pieces}
+from .kernel import ALNUM_WORDS, Words, blocks, mix
+from .shared import lean, table
+
+MOST, TRIALS = 40, 400
+_MAP = 1 << 23
+#: Steps walked and steps sampled, for items from so many words on.
+CLASSES = ((40, 8, 4), (10, 6, 3), (0, 4, 2))
+
+
+def steps_of(words: int) -> tuple[int, int]:
+    return next((s, m) for least, s, m in CLASSES if words >= least)
+
+
+def sampled(steps: int, m: int, r: int) -> list[int]:
+    """The steps whose words make repetition r's key: the first and m - 1 others."""
+    return [0, *sorted(random.Random(f"{steps}.{m}.{r}").sample(range(1, steps), m - 1))]
+
+
+def embed(words: np.ndarray, end: np.ndarray, steps: int, picked: list[int], r: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, usable) of the walk from each word; usable keys hold as many places of the text as steps."""
+    at = np.arange(len(words))
+    key = np.full(len(words), r + 1, dtype=np.uint64)
+    ok = np.ones(len(words), dtype=bool)
+    last = np.full(len(words), -1)
+    for step in range(picked[-1] + 1):
+        inside = at < end
+        word = words[np.minimum(at, len(words) - 1)]
+        if step in picked:
+            ok &= inside & (at > last)
+            last = at
+            key = mix(key ^ word)
+        # The bit is a hash of word, step and repetition.
+        bit = ((word ^ np.uint64(((step + 1) * 0x9E3779B97F4A7C15 + r * 0xD6E8FEB86659FD93) & (1 << 64) - 1)) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(63)
+        at = at + bit.astype(np.int64)
+    return key, ok
+
+
+def _hashes(texts: list[str]) -> Words:
+    raw = [t.encode() for t in texts]
+    offs = np.append(0, np.cumsum([len(t) for t in raw])).astype(np.int64)
+    return Words(np.frombuffer(b"".join(raw), np.uint8), offs, ALNUM_WORDS, lower=True)
+
+
+def edited(rng: random.Random, words: list, n: int, new) -> list:
+    """The words after n random substitutions, deletions and insertions."""
+    out = list(words)
+    for _ in range(n):
+        i, how = rng.randrange(len(out)), rng.randrange(3)
+        out[i : i + (how < 2)] = [] if how == 1 else [new()]
+    return out
+
+
+def _keys(words: list[np.ndarray], steps: int, m: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys in order, items, places) of repetition r."""
+    end = np.repeat(np.cumsum([len(w) for w in words]), [len(w) for w in words])
+    own = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    place = np.concatenate([np.arange(len(w)) for w in words])
+    key, ok = embed(np.concatenate(words), end, steps, sampled(steps, m, r), r)
+    key, own, place = key[ok], own[ok], place[ok]
+    order = np.argsort(key, kind="stable")
+    return key[order], own[order], place[order]
+
+
+def _caught(trials, keys, steps, m, r) -> list[bool]:
+    """Whether a key of its own item, at its own place, meets each trial (item, words, begin, edits)."""
+    known, own, place = keys
+    out = []
+    for item, words, begin, k in trials:
+        key, ok = embed(words, np.full(len(words), len(words)), steps, sampled(steps, m, r), r)
+        lo, hi = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+        out.append(any(own[j] == item and abs(p - place[j] - begin) <= k for p in np.flatnonzero(ok & (lo < hi)).tolist() for j in range(lo[p], hi[p])))
+    return out
+
+
+def build(texts: list[str], edits: float, least_words: int, target: float = 0.99) -> dict:
+    """The index of a block of items: their words, and by class the repetitions with their keys."""
+    w = _hashes(texts)
+    words = [w.hash[a:b] for a, b in zip(w.offs, w.offs[1:])]
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, x in enumerate(words):
+        if len(x) >= max(1, least_words):
+            groups.setdefault(steps_of(len(x)), []).append(i)
+    out = []
+    for (steps, m), ids in sorted(groups.items()):
+        rng = random.Random(17)
+        new = lambda: np.uint64(rng.getrandbits(64))
+        trials = []
+        for j in range(TRIALS):
+            item = j % len(ids) if len(ids) <= TRIALS else rng.randrange(len(ids))
+            x = list(words[ids[item]])
+            k = int(edits * len(x))
+            copy = edited(rng, x, k, new)
+            before = [new() for _ in range(rng.randrange(len(x) + 1))]
+            trials.append((item, np.array(before + copy + [new() for _ in range(len(x))], np.uint64), len(before), k))
+        short = [x for x in ids if len(words[x]) < m]
+        own = [words[i] for i in ids]
+        missed, reps = trials, []
+        for r in range(MOST):
+            keys = _keys(own, steps, m, r)
+            reps.append((r, keys[0], np.array(ids, np.int64)[keys[1]], keys[2]))
+            missed = [t for t, hit in zip(missed, _caught(missed, keys, steps, m, r)) if not hit]
+            if len(missed) <= (1 - target) * len(trials):
+                break
+        if short or len(missed) > (1 - target) * len(trials):
+            raise ValueError(f"{len(reps)} repetitions find {1 - len(missed) / len(trials):.3f} of copies with {edits} edits a word, not {target}; items of {min(len(x) for x in own)} to {max(len(x) for x in own)} words")
+        out.append((steps, m, reps))
+    return {"words": words, "classes": out}
 
 
 def nearest(item: list[int], text: list[int]) -> int:
@@ -97,35 +186,47 @@ def distance(item: list[int], text: list[int]) -> tuple[int, int, int]:
     return row[last], begin[last], last
 
 
-def _match(batches, index, edits):
-    words = index["words"]
-    lists = {i: x.tolist() for i, x in words.items()}
-    sets = {i: set(x) for i, x in lists.items()}
-    most = {i: int(edits * len(x)) for i, x in lists.items()}
-    maps = []
-    for _, keys, _, _ in index["pieces"]:
-        maps.append(np.zeros(_MAP, bool))
-        maps[-1][keys & np.uint64(_MAP - 1)] = True
-    for rows, data, offs in blocks(batches):
-        w = Words(data, offs, ALNUM_WORDS, lower=True)
+class _Matcher:
+    """Finds a block of items in blocks of documents."""
+
+    def __init__(self, index: dict, edits: float):
+        self.index = index
+        self.lists = [x.tolist() for x in index["words"]]
+        self.sets = [set(x) for x in self.lists]
+        self.most = [int(edits * len(x)) for x in self.lists]
+        self.maps = []
+        for _, _, reps in index["classes"]:
+            self.maps.append([])
+            for _, keys, _, _ in reps:
+                self.maps[-1].append(np.zeros(_MAP, bool))
+                self.maps[-1][-1][keys & np.uint64(_MAP - 1)] = True
+
+    def candidates(self, w: Words) -> dict[tuple[int, int], set[int]]:
+        """Where items may begin: {(document, item): words of the block}."""
         found: dict[tuple[int, int], set[int]] = {}
-        doc = w.doc_of()
-        for (size, keys, ids, starts), known in zip(index["pieces"], maps):
-            grams, ok = w.grams(size)
-            at = np.flatnonzero(known[grams & np.uint64(_MAP - 1)] & ok)
-            lo, hi = np.searchsorted(keys, grams[at], "left"), np.searchsorted(keys, grams[at], "right")
-            hit = lo < hi
-            for p, d, a, b in zip(at[hit].tolist(), doc[at[hit]].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                for i, start in zip(ids[a:b].tolist(), starts[a:b].tolist()):
-                    found.setdefault((d, i), set()).add(p - start)
+        doc, end = w.doc_of(), np.repeat(w.offs[1:], w.counts)
+        for (steps, m, reps), maps in zip(self.index["classes"], self.maps):
+            for (r, keys, ids, places), known in zip(reps, maps):
+                got, ok = embed(w.hash, end, steps, sampled(steps, m, r), r)
+                at = np.flatnonzero(known[got & np.uint64(_MAP - 1)] & ok)
+                lo, hi = np.searchsorted(keys, got[at], "left"), np.searchsorted(keys, got[at], "right")
+                hit = lo < hi
+                for p, d, a, b in zip(at[hit].tolist(), doc[at[hit]].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                    for i, place in zip(ids[a:b].tolist(), places[a:b].tolist()):
+                        found.setdefault((d, i), set()).add(p - place)
+        return found
+
+    def match(self, data, offs) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, edits, first, last) in order."""
+        w = Words(data, offs, ALNUM_WORDS, lower=True)
         out = []
-        for (d, i), places in found.items():
-            x, k, low, high = lists[i], most[i], int(w.offs[d]), int(w.offs[d + 1])
+        for (d, i), starts in self.candidates(w).items():
+            x, k, low, high = self.lists[i], self.most[i], int(w.offs[d]), int(w.offs[d + 1])
             stretches: list[list[int]] = []
-            for p in sorted(places):
+            for p in sorted(starts):
                 a, b = max(low, p - k), min(high, p + len(x) + k)
                 # An edit takes away one of the item's words at most.
-                if len(sets[i].intersection(w.hash[a:b].tolist())) < len(sets[i]) - k:
+                if len(self.sets[i].intersection(w.hash[a:b].tolist())) < len(self.sets[i]) - k:
                     continue
                 if stretches and a <= stretches[-1][1]:
                     stretches[-1][1] = b
@@ -139,41 +240,57 @@ def _match(batches, index, edits):
                     best = (got[0], a - low + got[1], a - low + got[2])
             if best is not None:
                 out.append((d, i, *best))
-        out.sort()
-        cols = list(zip(*out)) or [()] * 5
-        take = rows.column("doc_id").take(pa.array(cols[0], pa.int64()))
-        yield pa.RecordBatch.from_arrays([take, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "item_id", "edits", "first_word", "last_word"])
+        return sorted(out)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25, least_words: int = 5, block: int = 20000) -> DataFrame:
-    """(doc_id, item_id, edits, first_word, last_word): each item in each document, where it is nearest.
+def _leaks(batches, index, edits):
+    matcher = _Matcher(index.value, edits)
+    ids = np.array(index.value["ids"], np.int64)
+    for rows, data, offs in blocks(batches):
+        cols = np.array(matcher.match(data, offs), np.int64).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(cols[:, 0])), pa.array(ids[cols[:, 1]]), *(pa.array(np.ascontiguousarray(cols[:, c])) for c in (2, 3, 4))], names=["doc_id", "item_id", "edits", "first_word", "last_word"])
 
-    An item is in a document if some window is within ``edits`` * its words of it; 0 <= edits < 1.
-    """
+
+def _clean(batches, index, edits):
+    matcher = _Matcher(index.value, edits)
+    for rows, data, offs in blocks(batches):
+        keep = np.ones(rows.num_rows, dtype=bool)
+        keep[[m[0] for m in matcher.match(data, offs)]] = False
+        yield rows.filter(pa.array(keep))
+
+
+def _indexes(docs: DataFrame, items: DataFrame, edits: float, least_words: int, block: int):
+    """Broadcast indexes of blocks of ``block`` items each, about."""
     if not 0 <= edits < 1:
         raise ValueError(f"edits must be a share of 0 to below 1, not {edits}")
-    schema = "doc_id long, item_id long, edits long, first_word long, last_word long"
+    spark = lean(docs)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id", "text"])
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     parts = max(1, -(-items.count() // block))
-    out = None
     for p in range(parts):
-        got = sorted((r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect())
-        own: dict[int, str] = {}
-        again = []
-        for i, t in got:  # an id with several texts: each is looked for
-            (again.append((i, t)) if i in own else own.update({i: t}))
-        for group in [list(own.items()), *([x] for x in again)]:
-            if not group:
-                continue
-            index = docs.sparkSession.sparkContext.broadcast(build(group, edits, least_words))
-            df = docs.mapInArrow(partial(_leaks, index=index, edits=edits), schema)
-            out = df if out is None else out.unionByName(df)
+        got = sorted((r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect())
+        if got:
+            yield spark.sparkContext.broadcast(build([t for _, t in got], edits, least_words) | {"ids": [i for i, _ in got]})
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25, least_words: int = 5, block: int = 5000) -> DataFrame:
+    """(doc_id, item_id, edits, first_word, last_word): each item in each document, where it is nearest.
+
+    An item is in a document if some window is within ``edits`` * its words of it; 0 <= edits < 1.
+    """
+    schema = "doc_id long, item_id long, edits long, first_word long, last_word long"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for index in _indexes(docs, items, edits, least_words, block):
+        df = rows.mapInArrow(partial(_leaks, index=index, edits=edits), schema)
+        out = df if out is None else out.unionByName(df)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _leaks(batches, index, edits):
-    yield from _match(batches, index.value, edits)
+def without_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.25, least_words: int = 5, block: int = 5000) -> DataFrame:
+    """The rows of docs, with all their columns, in which no item is found; nothing is shuffled."""
+    for index in _indexes(docs, items, edits, least_words, block):
+        docs = docs.mapInArrow(partial(_clean, index=index, edits=edits), docs.schema)
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
