@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.decontaminate import find_leaks
+from textloom.llm.decontaminate import without_leaks
 from textloom.llm.minhash_dedup import near_duplicates
 from textloom.llm.packing import pack, vocabulary
 from textloom.llm.pii import find_pii, redact
 from textloom.llm.quality import score_quality
-from textloom.llm.shared import stash, table
+from textloom.llm.shared import lean, stash, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,25 +25,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group of near duplicates (five words, similarity 0.8).
+    """The first document, by doc_id, of each group of near duplicates (five words, similarity 0.8).
 
-    Rows of one doc_id and text count as one; several texts of a doc_id are documents each.
+    Rows that share a doc_id are documents each, in the order of their texts; rows with a
+    null doc_id are near duplicates of nothing.
     """
-    nodes = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).withColumn("node", F.col("doc_id").cast("long"))
-    texts = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
-    if texts.filter("low <> high").isEmpty():
-        found = near_duplicates(docs)
+    known, alone = docs.filter("doc_id is not null"), docs.filter("doc_id is null").select(*COLUMNS)
+    if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        nodes = known.withColumn("node", F.col("doc_id").cast("long"))
     else:  # ids of their own, in the order of doc_id
-        nodes = stash(nodes.orderBy("doc_id", "text").withColumn("node", F.monotonically_increasing_id()), "nodes")
-        found = near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("node")).distinct()
-    return nodes.join(kept, "node", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+        nodes = stash(known.orderBy(*COLUMNS).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    kept = near_duplicates(nodes.select(F.col("node").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("node"))
+    return nodes.join(stash(kept, "kept").hint("merge"), "node", "left_semi").select(*COLUMNS).unionByName(alone)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents without a passage of the benchmark; rows are judged one by one."""
+    return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +59,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("decontamination", decontaminate), ("personal_data", personal_data), ("packing", packing)]
 
-#: A trained classifier, a tokenizer and edit distances are beyond SQL; tests compare with brute force.
+#: A trained classifier, a tokenizer and edit distances are beyond SQL; a test compares all stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    lean(docs)
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
