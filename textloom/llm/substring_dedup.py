@@ -3,7 +3,7 @@
 Every window of ``width`` consecutive words has a Rabin-Karp hash.  Windows are
 counted in Spark, but not one row each: consecutive windows that share a winnowing
 anchor (the least ``ANCHOR``-gram hash among those inside the window) travel as one
-run, under the anchor and the sum of their hashes.  Equal windows have equal
+run, under the anchor and the sums of their hashes (128 bits, as those of windows).  Equal windows have equal
 anchors, so
 
 * a run whose anchor occurs in one document only holds no repeated window;
@@ -13,8 +13,9 @@ anchors, so
   by one: least doc_id for each window hash.
 
 Repeated windows of a document merge into maximal intervals of words, which go.
-No group is ever gathered: hot windows meet in partial aggregates, and joins on
-anchors or hashes can be split.
+No group is ever gathered: hot windows meet in partial aggregates, whose results are
+written, so that joins on anchors and windows read plain exchanges, which adaptive
+execution splits where a key is hot.
 
 Defined cases: null or empty texts have no words (n_words 0, SHA-256 of nothing);
 texts shorter than a window keep all words; rows with a null doc_id keep all and
@@ -33,19 +34,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import Words, blocks, sliding_min
-from .shared import stash, table
+from .shared import lean, stash, table
 
 ANCHOR = 24
 _PARTS = "array<struct<first:int,n:int,edge:boolean>>"
 
 
 def _runs(data, offs, width):
-    """(document, first word, windows, anchor, sum of hashes) of each run of a block, and all window hashes."""
+    """(document, first word, windows, anchor, sums of hashes) of each run of a block."""
     w = Words(data, offs)
-    hashes, ok = w.grams(width)
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(w.within(width))
     if not len(at):
-        return w, hashes, None
+        return None
     k = min(ANCHOR, width)
     grams, _ = w.grams(k, salt=77)
     anchor = sliding_min(grams, width - k + 1)[at]
@@ -53,18 +53,18 @@ def _runs(data, offs, width):
     new = np.ones(len(at), dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    sums = np.add.reduceat(hashes[at], first)
-    return w, hashes, (doc[first], at[first] - w.offs[doc[first]], np.diff(np.append(first, len(at))), anchor[first], sums)
+    sums = [np.add.reduceat(w.grams(width, salt)[0][at], first) for salt in (0, 1)]
+    return doc[first], at[first] - w.offs[doc[first]], np.diff(np.append(first, len(at))), anchor[first], *sums
 
 
 def _scan(batches, width):
     for rows, data, offs in blocks(batches):
-        _, _, runs = _runs(data, offs, width)
+        runs = _runs(data, offs, width)
         if runs is None:
             continue
-        doc, first, n, anchor, sums = runs
+        doc, first, n, anchor, a, b = runs
         ids, keys = rows.column("doc_id").take(pa.array(doc)), rows.column("key").take(pa.array(doc))
-        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(anchor.view(np.int64)), pa.array(sums.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "key", "anchor", "sums", "first", "n"])
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array(anchor.view(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "key", "anchor", "a", "b", "first", "n"])
 
 
 def _digest(words: list[bytes]) -> str:
@@ -92,14 +92,14 @@ def _windows(batches, width):
     """A row for each window of the edge runs."""
     for rows, data, offs in blocks(batches):
         w = Words(data, offs)
-        hashes, _ = w.grams(width)
+        a, b = w.grams(width, 0)[0], w.grams(width, 1)[0]
         edges = rows.column("edges").to_pylist()
         doc = np.repeat(np.arange(len(edges)), [sum(e["n"] for e in x) for x in edges])
         at = [np.arange(e["first"], e["first"] + e["n"]) for x in edges for e in x]
         if not at:
             continue
         at = np.concatenate(at)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), rows.column("key").take(pa.array(doc)), pa.array(hashes[at + w.offs[doc]].view(np.int64)), pa.array(at.astype(np.int32))], names=["doc_id", "key", "window", "at"])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), rows.column("key").take(pa.array(doc)), pa.array(a[at + w.offs[doc]].view(np.int64)), pa.array(b[at + w.offs[doc]].view(np.int64)), pa.array(at.astype(np.int32))], names=["doc_id", "key", "window", "twin", "at"])
 
 
 def _cut(batches, width):
@@ -123,16 +123,14 @@ def _cut(batches, width):
 
 def dedup_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed intervals of words (first and last)."""
+    lean(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key"))
     known = docs.filter("doc_id is not null and text is not null")
-    runs = known.mapInArrow(partial(_scan, width=width), "doc_id long, key long, anchor long, sums long, first int, n int")
-    shared = (
-        runs.groupBy("anchor")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("sums").alias("a"), F.max("sums").alias("b"))
-        .filter("least < most")
-        .select("anchor", "least", (F.col("a") != F.col("b")).alias("edge"))
-    )
-    parts = runs.join(shared, "anchor").filter("edge or doc_id > least").groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "edge")).alias("parts"))
+    runs = known.mapInArrow(partial(_scan, width=width), "doc_id long, key long, anchor long, a long, b long, first int, n int")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("a", "b") for f in (F.min, F.max)]
+    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *ends).filter("least < most")
+    shared = stash(shared.select("anchor", "least", F.expr("min_a <> max_a or min_b <> max_b").alias("edge")), "anchors")
+    parts = runs.join(shared.hint("merge"), "anchor").filter("edge or doc_id > least").groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "n", "edge")).alias("parts"))
     settled = stash(
         docs.join(parts, ["doc_id", "key"], "left").select("doc_id", "key", "text", F.col("parts").cast(_PARTS).alias("parts")).mapInArrow(
             _settle, "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, text string, sure array<struct<first:int,n:int>>, edges array<struct<first:int,n:int>>"
@@ -141,9 +139,9 @@ def dedup_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
     )
     done = settled.filter("kept_sha256 is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", F.array().cast("array<struct<first:long,last:long>>").alias("removed"))
     open_ = settled.filter("kept_sha256 is null")
-    windows = open_.filter("size(edges) > 0").select("doc_id", "key", "text", "edges").mapInArrow(partial(_windows, width=width), "doc_id long, key long, window long, at int")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("window", "least")
-    more = windows.join(least, "window").filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_list("at").alias("more"))
+    windows = open_.filter("size(edges) > 0").select("doc_id", "key", "text", "edges").mapInArrow(partial(_windows, width=width), "doc_id long, key long, window long, twin long, at int")
+    least = windows.groupBy("window", "twin").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("window", "twin", "least")
+    more = windows.join(stash(least, "windows").hint("merge"), ["window", "twin"]).filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_list("at").alias("more"))
     cut = (
         open_.join(more, ["doc_id", "key"], "left")
         .select("doc_id", "n_words", "text", "sure", "more")
