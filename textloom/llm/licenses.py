@@ -4,8 +4,12 @@ Every rolling hash of ``K`` words of every text is joined in Spark with the
 positions of the same hash in the license templates (a fixed table of a few hundred
 rows, hence broadcast).  Hits vote for (document, template, offset diagonal);
 neighbouring diagonals, which small insertions make, merge into one span; spans
-with enough template positions are verified word by word against the text.  Base
-phrases are found in the same words, wherever they stand.
+with enough different template positions are verified word by word against the text:
+the words that stand in order, by the longer of the template and the stretch they
+take.  Base phrases are found in the same words, wherever they stand.
+
+Spans to verify go back to their texts by a broadcast if they are at most
+``BROADCAST_ROWS``, as counted, else by a join of both sides' exchanges.
 
 Defined cases: null and empty texts have no words and no labels (first_word and
 last_word null, score 0); repeated rows get equal rows, as votes count distinct
@@ -25,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernel import ALNUM_WORDS, Words, blocks
-from .shared import table
+from .shared import lean, stash, table
 
-K = 5
+K, BROADCAST_ROWS = 5, 200_000
 #: Phrases that name a license, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notices of the licenses.
@@ -91,16 +95,22 @@ def _grams(batches, k):
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), grams], names=["doc_id", "key", "grams"])
 
 
+def _likeness(have: list[bytes], want: list[bytes]) -> float:
+    """How much of the template stands in order in the words, over the longer of it and the stretch taken; the best place counts."""
+    n, best = len(want), 0.0
+    for at in range(0, max(1, len(have) - n), n):  # a long chain of repeats is read a part at a time
+        found = [b for b in difflib.SequenceMatcher(None, have[at : at + 2 * n], want, autojunk=False).get_matching_blocks() if b.size]
+        if found:
+            best = max(best, sum(b.size for b in found) / max(n, found[-1].a + found[-1].size - found[0].a))
+    return best
+
+
 def _verify(batches, texts, least):
-    """Share of a template's words that stand in order in the span."""
     known = {name: words(text) for name, text in texts.items()}
     for batch in batches:
         score = []
         for text, name, first, last in zip(*(batch.column(c).to_pylist() for c in ("text", "template", "first", "last"))):
-            want = known[name]
-            have = words(text)[max(0, first) : last]
-            blocks_ = difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks()
-            score.append(sum(b.size for b in blocks_) / len(want))
+            score.append(_likeness(words(text)[max(0, first) : last], known[name]))
         out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("template"), batch.column("first"), batch.column("last"), pa.array(score, pa.float64())], names=["doc_id", "key", "template", "first", "last", "score"])
         yield out.filter(pa.array([s >= least for s in score], pa.bool_()))
 
@@ -113,20 +123,23 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, k: i
     size = {name: len(words(text)) for name, text in texts.items()}
     places = F.broadcast(spark.createDataFrame(rows, "template string, p int, gram long"))
     hits = docs.mapInArrow(partial(_grams, k=k), "doc_id long, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("at", "gram")).join(places, "gram")
-    diagonals = hits.groupBy("doc_id", "key", "template", (F.col("at") - F.col("p")).alias("diagonal")).agg(F.count_distinct("p").alias("votes"))
+    diagonals = hits.groupBy("doc_id", "key", "template", (F.col("at") - F.col("p")).alias("diagonal")).agg(F.collect_set("p").alias("places"))
     order = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
     runs = diagonals.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= slack, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     length = F.element_at(F.create_map(*[F.lit(x) for kv in size.items() for x in kv]), F.col("template"))
     spans = (
         runs.groupBy("doc_id", "key", "template", "run")
-        .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
         .filter(F.col("votes") >= F.greatest(F.lit(1), 0.4 * (length - k + 1)))
         .select("doc_id", "key", "template", F.col("low").cast("int").alias("first"), (F.col("high") + length).cast("int").alias("last"))
     )
+    spans = stash(spans, "spans")
+    spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans.hint("merge")
     return docs.join(spans, ["doc_id", "key"]).select("doc_id", "key", "text", "template", "first", "last").mapInArrow(partial(_verify, texts=texts, least=least), "doc_id long, key long, template string, first int, last int, score double")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
+    lean(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     base = docs.mapInArrow(_base, "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base array<string>")
     label = F.regexp_replace("template", "-line$", "")
