@@ -8,7 +8,8 @@ held-out fold crc32(doc_id) mod 5 = 0; labels, lang, source and doc_id are no in
 
 Defined cases: null and empty texts are scored from their statistics; a null n_chars
 counts as the length of the text; labels that are null are ignored; a doc_id with
-several labels trains with each; without labelled rows of both kinds the score is
+several labels trains with each, repeated labels once, a doc_id with several texts
+with the one of the least hash; without labelled rows of both kinds the score is
 the share of label 1 (0.5 without any); rows with a null doc_id are scored and not
 held out; an empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import Words, blocks
-from .shared import table
+from .shared import lean, table
 
 BUCKETS, RANK = 1 << 14, 8
 _CLASSES = [np.isin(np.arange(256), list(c)) for c in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"#$%&*@^~", b"|<>{}[]\\/_=", b".,;:", b"\n\r", b" \t", bytes(range(128, 256)))]
@@ -137,19 +138,20 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4000):
     """A model from at most ``sample`` labelled rows outside the held-out fold."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out()).distinct()
     # Labels of documents that are here, by hash; at most ``sample`` rows, hence broadcast.
     there = own.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     picked = F.broadcast(there.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("long").alias("n_chars")).join(picked, "doc_id")
-    # Copies of a row train once more than others would; repeated doc_ids can't pass the bound.
-    got = rows.mapInArrow(_extract, "doc_id long, label int, ids array<int>, values array<float>").dropDuplicates(["doc_id", "label"]).limit(sample).collect()
+    one = rows.groupBy("doc_id", "label").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "n_chars")).alias("r")).select("doc_id", "label", "r.text", "r.n_chars")
+    got = one.mapInArrow(_extract, "doc_id long, label int, ids array<int>, values array<float>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["label"]))
     return fit([(np.array(r["ids"], dtype=np.int64), np.array(r["values"], dtype=float)) for r in got], [r["label"] for r in got])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), threshold: float = 0.3, sample: int = 4000) -> DataFrame:
     """doc_id, the columns ``keep``, held_out, score and predicted."""
+    lean(docs)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("long").alias("n_chars"), *(c for c in keep if c not in ("doc_id", "text", "n_chars")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
