@@ -3,9 +3,10 @@
 Each document is tokenised (its ids, then id 0).  Whole windows are cut off first;
 what remains of each document is shorter than a window.  The histogram of these
 lengths (fewer bins than a window has tokens) goes to the driver, which enumerates
-combinations of up to three lengths that fill a window, solves how often each
-repeats by non-negative least squares (multiplicative updates), rounds down, and
-packs the residual counts greedily, longest first with the longest that still fit.
+all combinations of up to three lengths that fill a window (fewer than a twelfth of the
+square of the window), solves how often each repeats by non-negative least squares
+(multiplicative updates), rounds to whole numbers that the histogram has, and packs
+the residual counts greedily, longest first with the longest that still fit.
 Sequences are then joined back by rank within a length.  Ranks come from two
 steps, a count for each (bucket, length) and a row number inside it, so one length
 that a third of all documents share is spread over all buckets.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernel import blocks, process_cache
-from .shared import stash, table
+from .shared import lean, stash, table
 
 MEMO = 400_000
 
@@ -93,15 +94,13 @@ def _tokenise(batches, path, window):
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
 
 
-def combinations(lengths: list[int], window: int, most: int = 20000) -> list[tuple[int, ...]]:
-    """Combinations of up to three of the lengths that fill a window, evenly chosen if there are very many."""
+def combinations(lengths: list[int], window: int) -> list[tuple[int, ...]]:
+    """All combinations of up to three of the lengths that fill a window."""
     have, out = set(lengths), []
     for a in lengths:
         if window - a in have and a >= window - a:
             out.append((a, window - a))
-    triples = [(a, b, window - a - b) for a in lengths for b in lengths if b <= a and window - a - b <= b and window - a - b in have]
-    step = max(1, -(-len(triples) // max(1, most - len(out))))
-    return out + triples[::step]
+    return out + [(a, b, window - a - b) for a in lengths for b in lengths if b <= a and window - a - b <= b and window - a - b in have]
 
 
 def solve(counts: dict[int, int], window: int, rounds: int = 120) -> list[tuple[tuple[int, ...], int]]:
@@ -174,7 +173,7 @@ def _place(batches, ranges):
 
 def pack(docs: DataFrame, path: str, window: int = 1024, bucket_rows: int = 4096) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
-    spark = docs.sparkSession
+    lean(docs)
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_tokenise, path=path, window=window), "doc_id long, doc_tokens long, crcs array<long>")
     # Buckets of rows as they were written: stored, so ranks are the same whenever they are read.
     uid = F.monotonically_increasing_id()
