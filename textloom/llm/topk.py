@@ -14,7 +14,7 @@ Queries travel in blocks of ``block`` vectors, collected one block at a time.
 Defined cases: null vectors, and vectors with null or non-finite components or
 without an id, take no part; vectors of different lengths score over the shorter
 one; repeated rows of a vec_id are candidates each (a query skips all rows with its
-id) and one query; an empty table gives an empty result; other columns are ignored.
+id) and one query; scores that could pass 2**63 fail the job; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,14 +54,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _scores(batches, ids, queries):
     """(candidate ids, scores by query and candidate, own) in blocks of bounded size."""
     width = queries.shape[1]
-    top = int(np.abs(queries).max(initial=0))
+    top = float(np.abs(queries.astype(float)).max(initial=0))
     step = max(1, (1 << 22) // max(1, len(ids)))
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             m = _matrix(part.column("v"), width)
             # Products add up exactly in doubles below 2**53; larger ones take the slow way.
-            small = width * top * int(np.abs(m).max(initial=0)) < 1 << 53
+            most = width * top * float(np.abs(m.astype(float)).max(initial=0))
+            if most >= 1 << 63:
+                raise ValueError("components are too large: a score could pass 2**63")
+            small = most < 1 << 53
             s = (queries.astype(float) @ m.T.astype(float)).astype(np.int64) if small else queries @ m.T
             vec = part.column("vec_id").to_numpy()
             yield vec, s, vec[None, :] == ids[:, None]
