@@ -4,11 +4,11 @@ Candidates come from regular expressions: the base kinds, which always stay, and
 looser forms.  Three labelers vote on each candidate: its strict pattern, a
 gazetteer, and words of context before it.  Counts of vote patterns over the whole
 corpus (a table bounded by kinds x votes x sizes) feed expectation-maximisation for
-the labelers' reliabilities; its posteriors train a small logistic span classifier,
+the labelers' reliabilities, kind by kind, from common priors; its posteriors train a small logistic span classifier,
 which then decides, as a Column expression, which looser candidates become spans.
 
 Positions: the text is split at the matches, and lengths of gaps and matches add up
-to code points.  Patterns are written so that no text makes them backtrack far;
+to code points, block by block.  Patterns are written so that no text makes them backtrack far;
 they match what the plain forms match.
 
 Defined cases: a null text is empty; a null doc_id stays null; repeated rows give
@@ -31,7 +31,7 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_AT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,64}+)++"
+_AT = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)++"
 _LOCAL = r"(?<![0-9+)(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Cues before a candidate, and gazetteer entries inside it, by kind.
@@ -39,14 +39,44 @@ CUES = {"email": "mail|contact|write to|e-mail", "ip": r"\bip\b|address|host|ser
 GAZETTEER = {"email": r"gmail|yahoo|outlook|hotmail|mail|example|\.(com|org|net|edu|de|fr|es)$", "ip": r"^(10|127|172|192)\.", "card": "^(3[47]|4|5[1-5]|6011)", "phone": r"^\+?(1|33|34|44|49|\()", "ssn": "^(?!000|666|9)"}
 
 
+_BLOCK = 64
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def spans_of(text: Column, rule: str) -> Column:
-    """array<struct<start, end, hit>> of the matches of a rule, in code points."""
+    """array<struct<start, end, hit, before>> of the matches of a rule, in code points; before: the last of the gap before it.
+
+    Places are sums of the gaps and matches before: sums of whole blocks of matches first,
+    then a match adds those of its own block, so the cost stays about that of the text.
+    """
+    def add(xs):
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, b: a + b)
+
     hits = F.regexp_extract_all(text, F.lit(rule), F.lit(0))
-    sizes = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
-    gaps, lengths = sizes(F.split(text, rule, -1)), sizes(hits)
-    total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0).cast("long"), lambda a, b: a + b)
-    start = lambda i: total(gaps, i + 1) + total(lengths, i)
-    return F.transform(hits, lambda m, i: F.struct(start(i).alias("start"), (start(i) + F.length(m)).alias("end"), m.alias("hit")))
+    pairs = F.zip_with(hits, F.slice(F.split(text, rule, -1), F.lit(1), F.size(hits)), lambda m, g: F.struct(m.alias("hit"), F.length(g).cast("long").alias("gap"), (F.length(g) + F.length(m)).cast("long").alias("both"), F.substring(g, -24, 24).alias("before")))
+
+    def placed(found):
+        sizes = F.transform(found, lambda x: x["both"])
+
+        def by_block(sizes):
+            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / _BLOCK).cast("int")), lambda b: add(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))))
+            return let(blocks, lambda sums: let(F.transform(sums, lambda _, i: add(F.slice(sums, F.lit(1), i))), lambda firsts: rows(sizes, firsts)))
+
+        def rows(sizes, firsts):
+            def row(x, i):
+                block = F.floor(i / _BLOCK).cast("int")
+                start = F.get(firsts, block) + add(F.slice(sizes, block * _BLOCK + 1, i % _BLOCK)) + x["gap"]
+                return let(start, lambda at: F.struct(at.alias("start"), (at + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), x["before"].alias("before")))
+
+            return F.transform(found, row)
+
+        return let(sizes, by_block)
+
+    return let(pairs, placed)
 
 
 def _digits(x: Column) -> Column:
@@ -55,7 +85,7 @@ def _digits(x: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """array<struct<kind, start, end, base, strict, gazetteer, context, size>>."""
-    some = lambda when, rule: F.when(when, spans_of(text, rule)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>"))
+    some = lambda when, rule: F.when(when, spans_of(text, rule)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,hit:string,before:string>>"))
     digits, at, plus = text.rlike("[0-9]"), F.contains(text, F.lit("@")), F.contains(text, F.lit("+"))
     rules = (
         (0, at, _EMAIL, lambda x: F.lit(True), True),
@@ -71,7 +101,7 @@ def candidates(text: Column) -> Column:
 
         def row(x):
             ok = F.coalesce(strict(x["hit"]), F.lit(False))
-            before = F.lower(F.substring(text, F.greatest(F.lit(1).cast("long"), x["start"] - 23).cast("int"), F.least(F.lit(24).cast("long"), x["start"]).cast("int")))
+            before = F.lower(x["before"])
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (ok if base is not False else F.lit(False)).alias("base"), (ok if base is not False else F.lit(True)).cast("int").alias("strict"), x["hit"].rlike(GAZETTEER[name]).cast("int").alias("gazetteer"), before.rlike(CUES[name]).cast("int").alias("context"), F.least(F.lit(3).cast("bigint"), (x["end"] - x["start"] - 1) / 8).cast("int").alias("size"))
 
         return row
@@ -130,11 +160,12 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] = ()
     found = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, candidates(text).alias("found")), "pii")
     one = found.filter("size(found) > 0").select(F.explode("found").alias("c")).select("c.*")
     counts = [tuple(r) for r in one.groupBy("kind", "strict", "gazetteer", "context", "size").agg(F.count(F.lit(1)).alias("n")).collect()]
-    votes: dict[tuple, float] = {}
-    for _, s, g, c, _, n in counts:
-        votes[(s, g, c)] = votes.get((s, g, c), 0) + n
-    _, _, post = reliabilities(sorted(votes.items()))
-    w = train([(tuple(map(float, _features(k, s, g, c, z))), post[(s, g, c)], float(n)) for k, s, g, c, z, n in sorted(counts)])
+    votes: dict[int, dict[tuple, float]] = {}
+    for k, s, g, c, _, n in counts:
+        own = votes.setdefault(k, {})
+        own[(s, g, c)] = own.get((s, g, c), 0) + n
+    post = {k: reliabilities(sorted(own.items()))[2] for k, own in votes.items()}
+    w = train([(tuple(map(float, _features(k, s, g, c, z))), post[k][(s, g, c)], float(n)) for k, s, g, c, z, n in sorted(counts)])
 
     def likely(c):
         x = _features(c["kind"], c["strict"], c["gazetteer"], c["context"], c["size"])
