@@ -1,19 +1,23 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON text of any layout.  The paths of its fields, with ``[]`` for
-array items, sorted and hashed, are its fingerprint.  A fingerprint selects a
-declarative mapping: which path holds the list of turns and where role and text
-are inside an item, or which fields become which turns.  Unknown fingerprints have
-no mapping: the record is returned with a null format and its fingerprint.
+array items, sorted and hashed, are its fingerprint; fields that no mapping names (ids,
+names, sources) don't count.  A fingerprint selects a declarative mapping: which path
+holds the list of turns and where role and text are inside an item, or which fields
+become which turns.  Unknown fingerprints have no mapping: the record is returned
+with a null format and its fingerprint.
 
 The template marks turns ``<s>[ROLE] text </s>``.  Control strings inside
-texts are escaped reversibly, by a backslash before each backslash, ``<`` and
-``[``, so the formatted text parses back to exactly the same turns.  The loss mask
+texts are escaped reversibly, by a backslash before each backslash, ``<``, ``[`` and
+``]``, so the formatted text parses back to exactly the same turns.  The loss mask
 is a list of (start, end) of the escaped assistant texts.
 
 Defined cases: null texts and roles are empty; turns with null or equal numbers
 are ordered null first, then by role and text; repeated rows are turns each;
-conversations without rows don't exist; an empty table gives an empty result (but
+conversations without rows don't exist; a field that one item of a list lacks is
+empty there; a value that is no text stands as JSON; items that aren't objects have no
+role and are all text; an empty list has no turns; a conversation is one text, so its
+turns meet in one task; an empty table gives an empty result (but
 for extra conversations); other columns are ignored.
 """
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import lean, table
 
 
 def paths(value, at: str = "") -> set[str]:
@@ -45,11 +49,15 @@ def fingerprint(fields) -> str:
 
 
 def listed(items: str, role: str, text: str) -> tuple[str, dict]:
-    return fingerprint({f"{items}[].{role}", f"{items}[].{text}"}), {"items": items, "role": role, "text": text}
+    return fingerprint({f"{items}[].{role}", f"{items}[].{text}"}), {"items": items, "role": role, "text": text, "fields": (f"{items}[].{role}", f"{items}[].{text}")}
+
+
+def none_in(items: str) -> tuple[str, dict]:
+    return fingerprint({f"{items}[]"}), {"items": items, "role": "", "text": "", "fields": (f"{items}[]",)}
 
 
 def flat(*turns: tuple[str, tuple[str, ...]]) -> tuple[str, dict]:
-    return fingerprint({f for _, fields in turns for f in fields}), {"turns": turns}
+    return fingerprint({f for _, fields in turns for f in fields}), {"turns": turns, "fields": tuple(f for _, fields in turns for f in fields)}
 
 
 #: Declarative mappings by fingerprint.
@@ -58,6 +66,9 @@ MAPPINGS = dict(
         listed("messages", "role", "content"),
         listed("conversations", "from", "value"),
         listed("turns", "role", "text"),
+        none_in("messages"),
+        none_in("conversations"),
+        none_in("turns"),
         flat(("user", ("prompt",)), ("assistant", ("response",))),
         flat(("user", ("prompt",)), ("assistant", ("completion",))),
         flat(("user", ("question",)), ("assistant", ("answer",))),
@@ -72,15 +83,23 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 def turns_of(record: dict, mappings: dict) -> tuple[str, list[tuple[str, str]] | None]:
     """(fingerprint, canonical turns or None) of a record."""
-    mark = fingerprint(paths(record))
+    own = paths(record)
+    named = own & {f for rule in mappings.values() for f in rule["fields"]}
+    named -= {f for f in named if f.endswith("[]") and any(o != f and o.startswith(f) for o in named)}  # bare items beside objects
+    mark = fingerprint(named or own)
     rule = mappings.get(mark)
     if rule is None:
-        return mark, None
+        return fingerprint(own), None
     if "items" in rule:
-        got = [(x[rule["role"]], x[rule["text"]]) for x in record[rule["items"]]]
+        got = [(x.get(rule["role"]), x.get(rule["text"])) if isinstance(x, dict) else ("", x) for x in record[rule["items"]]]
     else:
-        got = [(role, "\n".join(record[f] or "" for f in fields if record[f])) for role, fields in rule["turns"]]
-    return mark, [(ROLES.get(str(r or ""), str(r or "")), str(t or "")) for r, t in got]
+        got = [(role, "\n".join(plain(record[f]) for f in fields if record[f] not in (None, ""))) for role, fields in rule["turns"]]
+    return mark, [(ROLES.get(plain(r), plain(r)), plain(t)) for r, t in got]
+
+
+def plain(value) -> str:
+    """A value as text: null is empty, and what is no text stands as JSON."""
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 _SPECIAL = re.compile(r"[\\<\[\]]")
@@ -139,6 +158,7 @@ def _format(batches, mappings, roles):
 
 def format_chats(records: DataFrame, mappings: dict | None = None, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(id, fingerprint, formatted, loss) of (id, record), where record is a JSON text."""
+    lean(records)
     return records.select(F.col("id").cast("long").alias("id"), "record").mapInArrow(partial(_format, mappings=mappings or MAPPINGS, roles=roles), "id long, fingerprint string, formatted string, loss array<struct<start:long,end:long>>")
 
 
