@@ -46,8 +46,16 @@ def test_text(spark):
     assert one(spark, T.snake_case, "OrderItem", "HTTPServer") == ["order_item", "http_server"]
     assert one(spark, T.simple_name, "a.b.C.run(int)", "m.f#2") == ["run", "f"]
     assert one(spark, T.pattern_shape, None, "getUser", "a.*b", "plain words") == ["none", "symbol", "regex", "literal"]
-    assert one(spark, T.word_keys, "漢字語 of ab") == [["漢字", "字語", "of", "ab"]]
-    assert one(spark, T.first_sentence, "One two. Three") == ["One two."]
+    assert one(spark, T.pattern_shape, "'getUser'", "class PublishBody", "three small words", "a.b", "MAX\\", "_", "Foo", "F", "") == ["symbol", "symbol", "literal", "literal", "symbol", "symbol", "symbol", "literal", "none"]
+    assert one(spark, T.usage_tokens, "where is persistIndexesLocked, v2_ab") == [["indexes", "locked", "persist"]]
+    assert one(spark, T.identifier_tokens, "the headRef, at `Foo` end. (x_y) 2A") == [["headRef", "Foo", "x_y"]]
+    assert one(spark, T.terms, "cancelPayment now", "x") == [["cancelpayment now", "cancel", "payment", "cancelpayment", "now"], []]
+    assert one(spark, T.word_keys, "漢字語 of ab", "cancelPayment x") == [["漢字語", "漢字", "字語", "of", "ab"], ["cancel", "payment", "cancelpayment"]]
+    assert one(spark, T.first_sentence, "One two. Three", "Why? Yes. No", "Why? Yes", "é" * 100, "é" * 80) == ["One two.", "Why? Yes.", "Why?", "é" * 80 + "…", "é" * 80]
+    assert one(spark, lambda x: T.truncate_bytes(x, 5), "aé€", "", "abcdef") == ["aé", "", "abcde"]
+    assert one(spark, lambda x: T.tool_class(x, F.lit(False)), "mcp__a__b__read_code", "Bash", "MultiEdit", "Edit", "search_hybrid") == ["g_read", "other", "other", "action", "g_search"]
+    assert one(spark, T.target, "db.a.t", "docs/x.md#y", "a.B", "") == ["db", "docs", "code", None]
+    assert one(spark, formats.language, "a.min.mjs", "b.kts", "c/Makefile", "d.TXT", "e.txt", "f.tsx", "g") == [None, "kotlin", "plain", None, "plain", "tsx", None]
 
 
 def test_bm25_ties_and_no_match(spark):
@@ -99,9 +107,29 @@ def test_outcomes(spark):
     assert [r["outcome"] for r in usage.nav_runs(rows).orderBy("seq").collect()] == ["fallback", "adoption", "merged", "inconclusive"]
 
 
+def calls(spark, *rows):
+    """Calls (element, class, query, pattern, node, results) of one window."""
+    data = [("s", "", i, e, c, q, p, n, r, 1) for i, (e, c, q, p, n, r) in enumerate(rows)]
+    return spark.createDataFrame(data, "session string, agent string, seq long, elem_no long, class string, query string, pattern string, node_id string, result_ids array<string>, win_no long").withColumn("ts", F.timestamp_seconds(F.col("seq")))
+
+
+def test_outcomes_of_batches(spark):
+    rows = calls(
+        spark, (1, "g_search", "parse orders", None, None, ["a.B", "db.x"]), (1, "read", None, None, None, None), (2, "g_explore", None, None, "d.md#x", None), (3, "other", None, None, None, None),
+        (4, "read", None, None, None, None), (4, "search", None, "no words", None, None), (4, "search", None, "parseOrder", None, None), (5, "g_read", None, None, "a.B", None),
+    )
+    runs = usage.nav_runs(rows).orderBy("seq").collect()
+    assert [(r["outcome"], r["query"], r["pattern"], r["same_intent"], r["targets"]) for r in runs] == [("fallback", "parse orders", "parseOrder", True, ["code", "db", "docs"]), ("adoption", None, None, False, ["code"])]
+    assert [tuple(r)[3:] for r in usage.window_metrics(rows).collect()] == [(1, 0, 1, True)]
+    late = calls(spark, *[(i, "search", None, "fooBar", None, None) for i in range(3)])
+    m = {r["grp"]: r for r in usage.group_metrics(late).collect()}
+    assert set(m) == {"all", "main"} and m["main"]["discovery_failures"] == 1 and m["all"]["late_switches"] == 0
+
+
 def test_funnel(spark):
-    r = usage.funnel(log(spark, "read", "nav", "nav", "read", "read", "read")).first()
-    assert (r["searches"], r["used"]) == (2, 2)
+    s, r = (lambda *ids: (1, "g_search", "q", None, None, list(ids))), (lambda n: (1, "g_read", None, None, n, None))
+    out = usage.funnel(calls(spark, r("a"), s("a", "b"), s("a"), s(), r("a"), r("a"), r("a"), r("c"), s("c"), r("b"))).first()
+    assert (out["searches"], out["used"]) == (3, 2)
 
 
 def test_streams(spark):
@@ -115,7 +143,7 @@ def test_changes(spark):
     new = spark.createDataFrame([("b", "2"), ("c", "1")], "k string, h string")
     assert {tuple(r) for r in changes.diff(old, new, ["k"], "h").collect()} == {("a", "removed"), ("b", "changed"), ("c", "added")}
     chain = spark.createDataFrame([("a", "b", 1), ("b", "c", 5), ("x", "y", 2)], "old_id string, new_id string, epoch long")
-    assert {tuple(r) for r in graph.redirects(chain, 4).collect()} == {("a", "c", 5), ("b", "c", 5), ("x", "y", 2)}
+    assert {tuple(r) for r in graph.redirects(chain).collect()} == {("a", "c", 5), ("b", "c", 5), ("x", "y", 2)}
 
 
 def test_prerequisites_with_a_cycle(spark):
@@ -170,7 +198,30 @@ def test_code_to_tables(spark):
 
 def test_grep_regions_merge(spark):
     files = spark.createDataFrame([("f", "\n".join(["hit"] + ["x"] * 3 + ["hit"] + ["x"] * 9))], "path string, content string")
-    assert [(r["start"], r["end"], r["matches"]) for r in evaluate.grep_regions(files, "hit", 2).collect()] == [(0, 6, 2)]
+    assert [(r["start"], r["end"], r["matches"]) for r in evaluate.grep_regions(files, "hit", 2).collect()] == [(1, 7, 2)]
+
+
+def test_derived_queries(spark):
+    issue = spark.createDataFrame([(1, "\n## Title `a_b`\nfooBar my_x my_x `A_B` and " + "`" + "é" * 70 + "`"), (2, ""), (3, None)], "issue_id long, text string")
+    got = [(r["issue_id"], r["query"]) for r in evaluate.derive_queries(issue, 9).orderBy("issue_id", "rank").collect()]
+    assert got == [(1, "Title `a_b`"), (1, "a_b"), (1, "é" * 60), (1, "my_x"), (1, "fooBar")]
+
+
+def test_redirects_and_prerequisites(spark):
+    hops = spark.createDataFrame([(i, i + 1, i) for i in range(40)] + [(100, 101, 1), (101, 100, 2), (102, 100, 3), (200, 200, 4)], "old_id long, new_id long, epoch long")
+    got = {r["old_id"]: (r["new_id"], r["epoch"]) for r in graph.redirects(hops).collect()}
+    assert got == {i: (40, 39) for i in range(40)}
+    needs = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(40)] + [("n40", "n3")], "name string, need string")
+    out = knowledge.expand(spark.createDataFrame([("n0",)], "name string"), needs)
+    assert {r["name"]: r["depth"] for r in out.collect()} == {f"n{i}": i for i in range(41)}
+    assert [r["name"] for r in knowledge.missing(out, needs).collect()] == [] and knowledge.missing(out, needs.filter("name != 'n7'")).count() == 1
+    terms = spark.createDataFrame([("a", "2024-01-01"), ("b", ""), ("c", None), ("d", "2999-01-01")], "term string, stale_after string")
+    assert [r["term"] for r in knowledge.stale(terms, "2024-01-01").collect()] == ["a"]
+
+
+def test_null_values_are_values(spark):
+    a, b = (spark.createDataFrame(r, "k long, v long") for r in ([(1, None), (2, None), (3, 1)], [(1, None), (3, None), (4, None)]))
+    assert {r["k"]: r["state"] for r in changes.diff(a, b, ["k"], "v").collect()} == {1: "same", 2: "removed", 3: "changed", 4: "added"}
 
 
 def test_debounced_stream(spark, tmp_path):

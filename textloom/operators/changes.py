@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Added, removed, changed or same for each key."""
-    a, b = old.select(*keys, F.col(value).alias("before")), new.select(*keys, F.col(value).alias("after"))
-    state = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed").otherwise("same")
+    """Added, removed, changed or same for each key; a null value is a value."""
+    a, b = (df.select(*keys, F.struct(F.col(value).alias("x")).alias(c)) for df, c in ((old, "before"), (new, "after")))
+    state = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before.x").eqNullSafe(F.col("after.x")), "same").otherwise("changed")
     return a.join(b, keys, "full").select(*keys, state.alias("state"))
 
 
 def edge_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Upserts and tombstones that turn the old edges of sources into the new ones."""
+    """Upserts and tombstones that turn the old edges of sources into the new ones; a null confidence is a value."""
     keys = ["source_id", "target_id", "type"]
-    both = old.withColumnRenamed("confidence", "before").join(new.withColumnRenamed("confidence", "after"), keys, "full")
-    op = F.when(F.col("after").isNull(), "tombstone").when(F.col("before").isNull() | (F.col("before") != F.col("after")), "upsert")
-    return both.select(*keys, op.alias("op"), F.col("after").alias("confidence")).filter("op is not null")
+    a, b = (df.select(*keys, F.struct("confidence").alias(c)) for df, c in ((old, "before"), (new, "after")))
+    op = F.when(F.col("after").isNull(), "tombstone").when(~F.col("before.confidence").eqNullSafe(F.col("after.confidence")) | F.col("before").isNull(), "upsert")
+    return a.join(b, keys, "full").select(*keys, op.alias("op"), F.col("after.confidence").alias("confidence")).filter("op is not null")
 
 
 def renames(gone: DataFrame, fresh: DataFrame) -> DataFrame:

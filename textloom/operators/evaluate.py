@@ -1,11 +1,11 @@
-"""Reading costs and exploration baselines (A22-A24, W8, T11, E3, E4, F8 in part)."""
+"""Reading costs and exploration baselines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_identifier_shaped, terms
+from ..functions.text import is_identifier_shaped, strip, terms, truncate_bytes
 
 
 def grep_full(files: DataFrame, query: str) -> DataFrame:
@@ -23,12 +23,13 @@ def grep_lines(files: DataFrame, query: str, context: int = 20) -> DataFrame:
 
 
 def grep_regions(files: DataFrame, query: str, context: int = 20, most: int = 100) -> DataFrame:
-    """(path, start, end, matches): merged regions of files by matches, then path."""
+    """(path, start, end, matches): merged regions, lines from 1, of files by their matching lines, then path."""
     lines = grep_lines(files, query, context)
     w = Window.partitionBy("path").orderBy("line_no")
-    group = lines.withColumn("g", F.col("line_no") - F.row_number().over(w))
     hit = F.exists(terms(F.lit(query)), lambda t: F.contains(F.lower(F.col("line")), t))
-    return group.groupBy("path", "g").agg(F.min("line_no").alias("start"), F.max("line_no").alias("end"), F.count_if(hit).alias("matches")).drop("g").orderBy(F.desc("matches"), "path", "start").limit(most)
+    group = lines.withColumn("g", F.col("line_no") - F.row_number().over(w)).withColumn("matches", F.count_if(hit).over(Window.partitionBy("path")))
+    regions = group.groupBy("path", "g").agg((F.min("line_no") + 1).alias("start"), (F.max("line_no") + 1).alias("end"), F.first("matches").alias("matches"))
+    return regions.drop("g").orderBy(F.desc("matches"), "path", "start").limit(most)
 
 
 def savings(nav: DataFrame, base: DataFrame) -> DataFrame:
@@ -37,12 +38,18 @@ def savings(nav: DataFrame, base: DataFrame) -> DataFrame:
     return both.select("nav", "base", F.round(100 * (1 - F.try_divide("nav", "base")), 6).alias("saved"), F.floor(F.col("nav") / 4).alias("tokens"))
 
 
-def derive_queries(issues: DataFrame, n: int = 5) -> DataFrame:
-    """F8 without backtick spans, A24: (issue_id, rank, query): the first line, then identifiers by frequency; distinct, ``n`` at most."""
-    title = issues.select("issue_id", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("n"), F.substring(F.trim(F.split("text", "\n").getItem(0)), 1, 120).alias("query"))
-    words = issues.select("issue_id", F.explode(F.split("text", r"[^A-Za-z0-9_.]+", -1)).alias("query")).filter(is_identifier_shaped(F.col("query")))
-    names = words.groupBy("issue_id", "query").agg(F.count(F.lit(1)).alias("n")).select("issue_id", F.lit(1).alias("tier"), "n", "query")
-    both = title.unionByName(names).filter("query != ''")
-    first = both.groupBy("issue_id", F.lower("query").alias("k")).agg(F.min(F.struct("tier", -F.col("n"), "query")).alias("r"))
+def derive_queries(issues: DataFrame, n: int = 3) -> DataFrame:
+    """(issue_id, rank, query): the title, spans in backticks, then identifiers by frequency.
+
+    The title is the first line that isn't empty, without heading marks.  Queries are cut at
+    120 bytes (whole characters), distinct whatever their case, ``n`` at most.
+    """
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: strip(F.ltrim(x, F.lit("# ")))), lambda x: x != "")
+    title = issues.select("issue_id", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("place"), F.get(lines, F.lit(0)).alias("query"))
+    spans = issues.select("issue_id", F.lit(1).alias("tier"), F.posexplode(F.regexp_extract_all("text", F.lit("`([^`\n]{2,80})`"), F.lit(1))).alias("place", "query"))
+    words = issues.select("issue_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]{2,})"), F.lit(1))).alias("query")).filter(is_identifier_shaped(F.col("query")))
+    names = words.groupBy("issue_id", "query").agg((-F.count(F.lit(1))).alias("place")).select("issue_id", F.lit(2).alias("tier"), "place", "query")
+    both = title.unionByName(spans).unionByName(names).withColumn("query", truncate_bytes(strip(F.col("query")), 120)).filter("query != ''")
+    first = both.groupBy("issue_id", F.lower("query").alias("k")).agg(F.min(F.struct("tier", "place", "query")).alias("r"))
     w = Window.partitionBy("issue_id").orderBy("r")
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("issue_id", "rank", F.col("r.query").alias("query"))

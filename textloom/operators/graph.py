@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stash
+
 SAME, NEAR, GLOBAL = 0.95, 0.90, 0.80
 #: Confidences of database references: fixed values.
 EXACT, LOGICAL, TOKEN = 1.0, 0.9, 0.8
@@ -132,12 +134,21 @@ def reverse_stats(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count_distinct("target_id").alias("targets"), F.count(F.lit(1)).alias("edges"))
 
 
-def redirects(hops: DataFrame, most: int = 64) -> DataFrame:
-    """(old_id, new_id, epoch) with chains followed by doubling; cycles stop at ``most`` hops."""
-    now = hops.select("old_id", "new_id", "epoch")
-    step = 1
-    while step < most:
+def redirects(hops: DataFrame) -> DataFrame:
+    """(old_id, new_id, epoch) with chains followed to their end by doubling.
+
+    Every round is written, so the plan stays small, and halves what is left of a chain;
+    it ends when nothing moves.  Chains that run into a cycle have no end: after as many
+    rounds as the longest possible chain needs they go, as do repeated hops of an id but
+    the latest.
+    """
+    now = hops.groupBy("old_id").agg(F.max_by("new_id", F.struct("epoch", "new_id")).alias("new_id"), F.max("epoch").alias("epoch"))
+    now = stash(now.filter("old_id != new_id"), "redirects")
+    rounds = max(1, now.count()).bit_length()
+    for _ in range(rounds + 1):
         nxt = now.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("further"), F.col("epoch").alias("later"))
-        now = now.join(nxt, "new_id", "left").select("old_id", F.coalesce("further", "new_id").alias("new_id"), F.greatest("epoch", F.coalesce("later", "epoch")).alias("epoch"))
-        step *= 2
-    return now
+        both = now.select("old_id", "new_id", "epoch").join(nxt, "new_id", "left")
+        now = stash(both.select("old_id", F.coalesce("further", "new_id").alias("new_id"), F.greatest("epoch", F.coalesce("later", "epoch")).alias("epoch"), F.col("further").isNotNull().alias("moved")), "redirects")
+        if now.filter("moved").isEmpty():
+            break
+    return now.filter("not moved").select("old_id", "new_id", "epoch")

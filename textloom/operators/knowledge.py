@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_keys
+from ..sources.stored import stash
 
 
 def task_match(tasks: DataFrame, sets: DataFrame, least: int = 2) -> DataFrame:
@@ -28,18 +29,30 @@ def repin(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("a").isNull()).alias("added"), F.count_if(F.col("a") != F.col("b")).alias("updated"), F.count_if(F.col("b").isNull()).alias("dropped"))
 
 
-def expand(wanted: DataFrame, needs: DataFrame, most: int = 32) -> DataFrame:
-    """(name, depth): all prerequisites, each at its greatest depth up to ``most``; cycles end."""
-    seen = wanted.select("name", F.lit(0).alias("depth"))
-    frontier = seen
-    for depth in range(1, most):
-        frontier = frontier.join(needs, "name").select(F.col("need").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth))
-        if frontier.isEmpty():
-            break
+def expand(wanted: DataFrame, needs: DataFrame) -> DataFrame:
+    """(name, depth): the names and all their prerequisites, each at its least depth; cycles end.
+
+    Every frontier is written, so a round reads the last one only.
+    """
+    seen = frontier = stash(wanted.select("name", F.lit(0).alias("depth")).distinct(), "frontier")
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        frontier = stash(frontier.join(needs, "name").select(F.col("need").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
+def missing(expanded: DataFrame, known: DataFrame) -> DataFrame:
+    """Names that are needed and don't exist."""
+    return expanded.join(known.select("name"), "name", "left_anti").select("name")
+
+
+def stale(terms: DataFrame, today: str) -> DataFrame:
+    """Terms whose ``stale_after`` has come; dates compare as texts."""
+    return terms.filter((F.coalesce("stale_after", F.lit("")) != "") & (F.lit(today) >= F.col("stale_after")))
+
+
 def friction(events: DataFrame) -> DataFrame:
     """Matched, resolved and drifted counts of each set; unread: matched three times, never resolved."""
     each = events.select("kind", F.explode("sets").alias("set_name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_identifier_shaped, tokenize
+from ..functions.text import tokenize
 
 K1, B = 1.2, 0.75
 
@@ -52,11 +52,6 @@ def exact_tier(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(by_id.unionByName(by_name), "query").select("query_id", "node_id").distinct()
 
 
-def identifier_tokens(text: Column) -> Column:
-    """identifier-shaped words of a sentence, in order."""
-    return F.array_distinct(F.filter(F.split(text, r"[^A-Za-z0-9_.]+", -1), is_identifier_shaped))
-
-
 def pool_size(k: int, filtered: bool) -> int:
     """How many candidates each stream offers."""
     return min(600, (24 if filtered else 3) * k)

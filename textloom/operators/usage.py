@@ -1,12 +1,22 @@
-"""Tool-call logs: streams, elements, windows, runs, outcomes (W1-W5, W6 in part, W7, A10, A11, A14-A17, J15, T6)."""
+"""Tool-call logs: streams, elements, windows, runs, outcomes.
+
+A row of a log has session, agent (empty: the main loop), seq, ts, prompt_id,
+tool_use_id, parallel, class, query, pattern, node_id and result_ids; an operator
+takes columns that a log lacks for null.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import pattern_shape, target, usage_tokens
+
 STREAM = ["session", "agent"]
+#: Classes of navigation; "nav" stands for any that isn't told apart.
+NAV = ("g_search", "g_explore", "g_read", "nav")
+_COLUMNS = {"elem_no": "long", "ts": "timestamp", "query": "string", "pattern": "string", "node_id": "string", "result_ids": "array<string>"}
 
 
 def streams(events: DataFrame) -> DataFrame:
@@ -29,28 +39,116 @@ def windows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("new", starts).withColumn("win_no", F.sum("new").over(w)).drop("new")
 
 
+def batches(rows: DataFrame) -> DataFrame:
+    """A row for each element of a window: what its calls are, in order."""
+    for name, kind in _COLUMNS.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.col("seq") if name == "elem_no" else F.lit(None).cast(kind))
+    nav, search = F.col("class").isin(*NAV), F.col("class") == "search"
+    asked = F.col("class").isin("g_search", "nav") & (F.coalesce("query", F.lit("")) != "")
+    shown = F.when(F.col("class") == "g_search", F.col("result_ids")).when(F.col("class").isin("g_explore", "g_read"), F.array("node_id"))
+    return rows.groupBy(*STREAM, "win_no", "elem_no").agg(
+        F.max("seq").alias("seq"),
+        F.min_by("ts", "seq").alias("ts"),
+        F.bool_or(nav).alias("nav"),
+        F.bool_or(search).alias("search"),
+        F.bool_or(F.col("class").isin("read", "action")).alias("use"),
+        F.bool_or(search & (pattern_shape(F.col("pattern")) == "symbol")).alias("symbol"),
+        F.array_sort(F.collect_list(F.when(search & (F.coalesce("pattern", F.lit("")) != ""), F.struct("seq", "pattern")))).alias("patterns"),
+        F.max_by("class", F.when(nav, F.col("seq"))).alias("last_nav"),
+        F.max_by(F.struct("query", "ts"), F.when(asked, F.col("seq"))).alias("asked"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform(F.coalesce(shown, F.array().cast("array<string>")), target)))).alias("targets"),
+    )
+
+
 def nav_runs(rows: DataFrame) -> DataFrame:
-    """W5, W6 in part: a row for each maximal run of nav rows of a window, with its outcome.
+    """A row for each maximal run of nav-bearing elements of a window, with its outcome.
 
-    The first decisive row after the run decides: search is a fallback, read or action an
-    adoption, nav means the run merged into the next; at the window's end it is
-    inconclusive.
+    The first decisive element after the run decides: search (which beats others in a
+    batch) is a fallback, read or action an adoption, nav means the run merged into the
+    next; at the window's end it is an adoption if its last navigation read code, else
+    inconclusive.  A fallback has the run's last query and the first pattern that shares
+    a token with it (same_intent), else the first pattern.
     """
-    win = Window.partitionBy(*STREAM, "win_no").orderBy("seq")
-    decisive = F.col("class").isin("search", "read", "action", "nav")
-    nxt = F.first(F.when(decisive, F.col("class")), ignorenulls=True).over(win.rowsBetween(1, Window.unboundedFollowing))
-    marked = rows.withColumn("nav", F.col("class") == "nav").withColumn("last", F.col("nav") & F.coalesce(F.lead("class").over(win) != "nav", F.lit(True))).withColumn("next", nxt)
-    first = F.col("nav") & F.coalesce(F.lag("class").over(win) != "nav", F.lit(True))
-    marked = marked.withColumn("run_no", F.sum(F.when(first, 1).otherwise(0)).over(win))
-    outcome = F.when(F.col("next") == "search", "fallback").when(F.col("next").isin("read", "action"), "adoption").when(F.col("next") == "nav", "merged").otherwise("inconclusive")
-    return marked.filter("last").select(*STREAM, "win_no", "run_no", "seq", outcome.alias("outcome"))
+    win = Window.partitionBy(*STREAM, "win_no").orderBy("elem_no")
+    kind = F.when(F.col("search"), "search").when(F.col("use"), "use").when(F.col("nav"), "nav")
+    nxt = F.first(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), "patterns")), ignorenulls=True).over(win.rowsBetween(1, Window.unboundedFollowing))
+    first = F.col("nav") & ~F.coalesce(F.lag("nav").over(win), F.lit(False))
+    marked = batches(rows).withColumn("next", nxt).withColumn("run_no", F.sum(F.when(first, 1).otherwise(0)).over(win)).filter("nav")
+    runs = marked.groupBy(*STREAM, "win_no", "run_no").agg(
+        F.max("seq").alias("seq"),
+        F.min_by("ts", "elem_no").alias("ts"),
+        F.max_by("next", "elem_no").alias("next"),
+        F.max_by("last_nav", "elem_no").alias("last_nav"),
+        F.max_by("asked", F.when(F.col("asked").isNotNull(), F.col("elem_no"))).alias("asked"),
+        F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_list("targets"))))).alias("targets"),
+    )
+    after = F.col("next.kind")
+    outcome = F.when(after == "search", "fallback").when(after == "use", "adoption").when(after == "nav", "merged").when(F.col("last_nav") == "g_read", "adoption").otherwise("inconclusive")
+    meant = F.filter("next.patterns", lambda p: F.arrays_overlap(usage_tokens(p["pattern"]), usage_tokens(F.col("asked.query"))))
+    fallback = (F.col("outcome") == "fallback") & F.col("asked").isNotNull()
+    out = runs.withColumn("outcome", outcome).withColumn("meant", F.when(fallback, meant))
+    return out.select(*STREAM, "win_no", "run_no", "seq", "ts", "outcome", "targets", F.col("asked.query").alias("query"), F.col("asked.ts").alias("query_ts"), F.when(fallback, F.coalesce(F.get("meant", F.lit(0)), F.get("next.patterns", F.lit(0)))["pattern"]).alias("pattern"), F.coalesce(F.size("meant") > 0, F.lit(False)).alias("same_intent"))
+
+
+def window_metrics(rows: DataFrame) -> DataFrame:
+    """A row for each window: elements that search, before the first nav, and for symbols; whether it navigates."""
+    win = Window.partitionBy(*STREAM, "win_no").orderBy("elem_no")
+    seen = F.coalesce(F.bool_or("nav").over(win.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return batches(rows).withColumn("seen", seen).groupBy(*STREAM, "win_no").agg(F.count_if("search").alias("searches"), F.count_if(F.col("search") & ~F.col("seen")).alias("early"), F.count_if("symbol").alias("symbols"), F.bool_or("nav").alias("nav"))
+
+
+def _groups() -> Column:
+    return F.explode(F.array(F.lit("all"), F.when(F.coalesce("agent", F.lit("")) == "", "main").otherwise("subagent"))).alias("grp")
+
+
+def group_metrics(rows: DataFrame) -> DataFrame:
+    """Windows and run outcomes of all, main and subagent streams."""
+    per = window_metrics(rows).select(_groups(), "*").groupBy("grp").agg(
+        F.count(F.lit(1)).alias("windows"),
+        F.count_if(F.col("searches") > 0).alias("with_search"),
+        F.count_if(F.col("symbols") > 0).alias("with_symbol_search"),
+        F.count_if("nav").alias("with_nav"),
+        F.count_if(F.col("nav") & (F.col("early") >= 2)).alias("late_switches"),
+        F.count_if(~F.col("nav") & (F.col("symbols") >= 3)).alias("discovery_failures"),
+    )
+    runs = outcomes(nav_runs(rows).select(_groups(), "*"), "grp")
+    return per.join(runs, "grp", "left").na.fill(0)
+
+
+def outcomes(runs: DataFrame, by: str) -> DataFrame:
+    """Counts of outcomes by a column of the runs."""
+    count = lambda o: F.count_if(F.col("outcome") == o)
+    return runs.groupBy(by).agg(count("adoption").alias("adoption"), count("fallback").alias("fallback"), F.count_if("same_intent").alias("same_intent"), count("inconclusive").alias("inconclusive"))
+
+
+def target_metrics(rows: DataFrame) -> DataFrame:
+    """Outcomes by target population; a run counts in each that its results and nodes belong to."""
+    runs = nav_runs(rows).filter("outcome <> 'merged'").select(F.explode("targets").alias("target"), "outcome", "same_intent")
+    return outcomes(runs, "target")
+
+
+def daily_trend(rows: DataFrame) -> DataFrame:
+    """Adoptions and fallbacks by the day on which a run begins."""
+    out = outcomes(nav_runs(rows).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day")
+    return out.select("day", "adoption", "fallback")
+
+
+def shapes(rows: DataFrame) -> DataFrame:
+    """Searches by the shape of their pattern."""
+    return rows.filter("class = 'search'").groupBy(pattern_shape(F.col("pattern")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def fallback_pairs(rows: DataFrame, n: int = 20) -> DataFrame:
+    """The latest fallbacks of runs that asked something."""
+    return nav_runs(rows).filter("outcome = 'fallback' and query is not null").select("session", "seq", "query_ts", "query", "pattern", "same_intent").orderBy(F.desc("query_ts"), "session", "seq").limit(n)
 
 
 def first_nav_median(events: DataFrame) -> DataFrame:
     """A10: sessions, those with nav, and the upper median of calls before the first nav (-1 if none)."""
     w = Window.partitionBy("session").orderBy("seq")
     nth = events.withColumn("before", F.row_number().over(w) - 1)
-    per = nth.groupBy("session").agg(F.min(F.when(F.col("class") == "nav", F.col("before"))).alias("before"))
+    per = nth.groupBy("session").agg(F.min(F.when(F.col("class").isin(*NAV), F.col("before"))).alias("before"))
     return per.agg(
         F.count(F.lit(1)).alias("sessions"),
         F.count("before").alias("with_nav"),
@@ -67,30 +165,26 @@ def bigrams(rows: DataFrame) -> DataFrame:
     return pairs.select(F.explode("classes").alias("a"), "next").select("a", F.explode("next").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def late_switch(rows: DataFrame) -> DataFrame:
-    """By window, searches before the first nav (two or more: late switch), or three searches without nav."""
-    win = Window.partitionBy(*STREAM, "win_no").orderBy("seq")
-    seen = F.max(F.when(F.col("class") == "nav", 1).otherwise(0)).over(win.rowsBetween(Window.unboundedPreceding, 0))
-    per = rows.withColumn("seen", seen).groupBy(*STREAM, "win_no").agg(F.count_if((F.col("class") == "search") & (F.col("seen") == 0)).alias("early"), F.max("seen").alias("nav"))
-    return per.agg(F.count_if((F.col("nav") == 1) & (F.col("early") >= 2)).alias("late_switches"), F.count_if((F.col("nav") == 0) & (F.col("early") >= 3)).alias("discovery_failures"))
-
-
 def funnel(rows: DataFrame) -> DataFrame:
-    """Each later use takes the most recent unused search of its window; (stream, win_no, searches, used).
+    """By window, searches with results and those that a later explore or read of one of their nodes follows.
 
-    Last-in first-out matching is sequential, hence a pandas group; a window is one prompt.
+    A use takes the most recent search that has its node and wasn't taken.  That is sequential,
+    hence a pandas group; a window is one prompt, and only its navigation is sent.
     """
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        open_, used = [], 0
-        for c in pdf["class"]:
-            if c == "nav":
-                open_.append(c)
-            elif c == "read" and open_:
-                open_.pop()
-                used += 1
+        open_, total, used = [], 0, 0
+        for c, ids, node in pdf.sort_values("seq")[["class", "result_ids", "node_id"]].itertuples(index=False):
+            if c == "g_search" and ids is not None and len(ids):
+                total += 1
+                open_.append(set(ids))
+            elif c != "g_search" and node:
+                at = next((k for k in range(len(open_) - 1, -1, -1) if node in open_[k]), None)
+                if at is not None:
+                    del open_[at]
+                    used += 1
         head = pdf.iloc[0]
-        return pd.DataFrame([(head["session"], head["agent"], head["win_no"], int((pdf["class"] == "nav").sum()), used)], columns=["session", "agent", "win_no", "searches", "used"])
+        return pd.DataFrame([(head["session"], head["agent"], head["win_no"], total, used)], columns=["session", "agent", "win_no", "searches", "used"])
 
-    return rows.select("session", "agent", "win_no", "seq", "class").groupBy("session", "agent", "win_no").applyInPandas(match, "session string, agent string, win_no long, searches long, used long")
+    nav = rows.filter(F.col("class").isin("g_search", "g_explore", "g_read")).select(*STREAM, "win_no", "seq", "class", "result_ids", "node_id")
+    return nav.groupBy(*STREAM, "win_no").applyInPandas(match, "session string, agent string, win_no long, searches long, used long")

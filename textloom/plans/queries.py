@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import changes, evaluate, graph, knowledge, lexical, usage, vector
 from ..sources import formats
-from .tables import EDGES_SQL, EVENTS_SQL, RUNS_SQL, TOKENS_SQL, WINDOWS_SQL, fk_edges, table, tool_log
+from .tables import EDGES_SQL, EVENTS_SQL, RUNS_SQL, TOKENS_SQL, WINDOWS_SQL, fk_edges, shape_sql, table, tool_log
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -75,9 +75,12 @@ def exact_lookup(spark, d):
     return lexical.exact_tier(part.select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("simple_name")), asked)
 
 
-@query(r"select doc_id, t as token from (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_.]+'), lambda t: regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_.]*$') and regexp_matches(t, '^.+[_A-Z.]')))) as t from documents)")
+_TRIM = r"""[.,;:!?()\[\]{}"\x27`]+"""
+
+
+@query(rf"select doc_id, t as token from (select doc_id, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '{T.WS}+'), lambda w: regexp_replace(regexp_replace(w, '^{_TRIM}', ''), '{_TRIM}$', '')), lambda t: length(t) >= 2 and regexp_matches(t, '^[A-Za-z_][A-Za-z0-9_]*$') and regexp_matches(t, '[_A-Z]')))) as t from documents)")
 def ident_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(lexical.identifier_tokens(F.col("text"))).alias("token"))
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.identifier_tokens(F.col("text")))).alias("token"))
 
 
 _KNN = """q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 5),
@@ -235,71 +238,85 @@ def compaction_trigger(spark, d):
 @query("with recursive h as (select n_nationkey as old_id, n_nationkey // 2 as new_id, (n_nationkey * 10)::bigint as epoch from nation where n_nationkey > 1), r as (select old_id, new_id, epoch from h union all select r.old_id, h.new_id, greatest(r.epoch, h.epoch) from r join h on r.new_id = h.old_id) select old_id::bigint as old_id, min(new_id)::bigint as new_id, max(epoch)::bigint as epoch from r group by 1")
 def redirect_resolve(spark, d):
     k = F.col("n_nationkey").cast("long")
-    return graph.redirects(table(spark, d, "nation").filter("n_nationkey > 1").select(k.alias("old_id"), F.floor(k / 2).alias("new_id"), (k * 10).alias("epoch")), 8)
+    return graph.redirects(table(spark, d, "nation").filter("n_nationkey > 1").select(k.alias("old_id"), F.floor(k / 2).alias("new_id"), (k * 10).alias("epoch")))
 
 
 def _windows(spark, d):
     return usage.windows(usage.elements(usage.streams(tool_log(spark, d))))
 
 
-@query(f"with {WINDOWS_SQL} select session, count(*)::bigint as events, max(win_no)::bigint as windows from wn group by 1")
+@query(f"with {WINDOWS_SQL} select session, agent, count(*)::bigint as events, max(win_no)::bigint as windows from wn group by 1, 2")
 def prompt_windows(spark, d):
-    return usage.windows(tool_log(spark, d)).groupBy("session").agg(F.count(F.lit(1)).alias("events"), F.max("win_no").alias("windows"))
+    return usage.windows(tool_log(spark, d)).groupBy("session", "agent").agg(F.count(F.lit(1)).alias("events"), F.max("win_no").alias("windows"))
 
 
-@query(f"with {EVENTS_SQL}, e as (select session, sum(case when parallel and coalesce(p, false) and prompt_id is not distinct from q then 0 else 1 end) as elements from (select *, lag(parallel) over w as p, lag(prompt_id) over w as q from ev window w as (partition by session order by seq)) group by 1) select session, elements::bigint as elements from e")
+@query(f"with {WINDOWS_SQL} select session, max(elem_no)::bigint as elements from wn group by 1")
 def elements(spark, d):
     return usage.elements(usage.streams(tool_log(spark, d))).groupBy("session").agg(F.max("elem_no").alias("elements"))
 
 
-@query(f"with {RUNS_SQL} select outcome, count(*)::bigint as runs from runs group by 1")
+_COUNTS = "count(*) filter (outcome = 'adoption')::bigint as adoption, count(*) filter (outcome = 'fallback')::bigint as fallback, count(*) filter (outcome = 'fallback' and same_intent)::bigint as same_intent, count(*) filter (outcome = 'inconclusive')::bigint as inconclusive"
+
+
+@query(f"with {RUNS_SQL} select outcome, count(*)::bigint as runs from judged group by 1")
 def run_outcomes(spark, d):
     return usage.nav_runs(_windows(spark, d)).groupBy("outcome").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query(f"with {RUNS_SQL} select session, win_no::bigint as win_no, run_no::bigint as run_no, seq, outcome from runs")
+@query(f"with {RUNS_SQL} select session, win_no::bigint as win_no, run_no::bigint as run_no, seq, outcome, query, case when outcome = 'fallback' and query is not null then pattern end as pattern, outcome = 'fallback' and same_intent as same_intent from judged")
 def nav_runs(spark, d):
-    return usage.nav_runs(_windows(spark, d)).select("session", "win_no", "run_no", "seq", "outcome")
+    return usage.nav_runs(_windows(spark, d)).select("session", "win_no", "run_no", "seq", "outcome", "query", "pattern", "same_intent")
 
 
-@query(f"with {RUNS_SQL}, g as (select case when session::bigint % 2 = 0 then 'main' else 'subagent' end as grp, outcome from runs), a as (select * from g union all select 'all', outcome from g) select grp, count(*) filter (outcome = 'adoption')::bigint as adoption, count(*) filter (outcome = 'fallback')::bigint as fallback, count(*) filter (outcome = 'inconclusive')::bigint as inconclusive from a group by 1")
+@query(f"""with {RUNS_SQL}, g as (select unnest(['all', case agent when '' then 'main' else 'subagent' end]) as grp, * from judged), r as (select grp, {_COUNTS} from g group by 1),
+st as (select *, coalesce(bool_or(nav) over (partition by session, agent, win_no order by elem_no rows between unbounded preceding and 1 preceding), false) as seen from el),
+pw as (select session, agent, win_no, count(*) filter (search) as searches, count(*) filter (search and not seen) as early, count(*) filter (symbol) as symbols, bool_or(nav) as nav from st group by all),
+gw as (select unnest(['all', case agent when '' then 'main' else 'subagent' end]) as grp, * from pw)
+select grp, count(*)::bigint as windows, count(*) filter (searches > 0)::bigint as with_search, count(*) filter (symbols > 0)::bigint as with_symbol_search, count(*) filter (nav)::bigint as with_nav, count(*) filter (nav and early >= 2)::bigint as late_switches,
+       count(*) filter (not nav and symbols >= 3)::bigint as discovery_failures, any_value(adoption) as adoption, any_value(fallback) as fallback, any_value(same_intent) as same_intent, any_value(inconclusive) as inconclusive from gw left join r using (grp) group by 1""")
 def group_metrics(spark, d):
-    grp = F.when(F.col("session").cast("long") % 2 == 0, "main").otherwise("subagent")
-    runs = usage.nav_runs(_windows(spark, d)).select(F.explode(F.array(F.lit("all"), grp)).alias("grp"), "outcome")
-    return runs.groupBy("grp").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("adoption", "fallback", "inconclusive")))
+    return usage.group_metrics(_windows(spark, d))
 
 
-@query(f"with {WINDOWS_SQL}, s as (select *, max(case when class = 'nav' then 1 else 0 end) over (partition by session, win_no order by seq) as seen from wn), p as (select count(*) filter (class = 'search' and seen = 0) as early, max(seen) as nav from s group by session, win_no) select count(*) filter (nav = 1 and early >= 2)::bigint as late_switches, count(*) filter (nav = 0 and early >= 3)::bigint as discovery_failures from p")
-def late_switch_discovery(spark, d):
-    return usage.late_switch(_windows(spark, d))
+@query(f"""with {RUNS_SQL}, ids as (select session, agent, win_no, elem_no, unnest(case class when 'g_search' then result_ids else [node_id] end) as id from wn where is_nav),
+t as (select distinct r.session, r.agent, r.win_no, r.run_no, case when starts_with(id, 'db.') then 'db' when regexp_matches(split_part(id, '#', 1), '\\.(md|markdown)$') then 'docs' else 'code' end as target
+      from judged r join ids i on i.session = r.session and i.agent = r.agent and i.win_no = r.win_no and i.elem_no between r.e0 and r.e1 where id <> '')
+select target, {_COUNTS} from judged join t using (session, agent, win_no, run_no) where outcome <> 'merged' group by 1""")
+def target_metrics(spark, d):
+    return usage.target_metrics(_windows(spark, d))
 
 
-@query(f"with {EVENTS_SQL}, p as (select session, min(case when class = 'nav' then rn end) as b from (select *, row_number() over (partition by session order by seq) - 1 as rn from ev) group by 1), v as (select list_sort(list(b) filter (b is not null)) as l, count(*) as n, count(b) as m from p) select n::bigint as sessions, m::bigint as with_nav, coalesce(l[m // 2 + 1], -1)::bigint as upper_median from v")
+@query(f"""with {RUNS_SQL}, st as (select *, coalesce(bool_or(nav) over (partition by session, agent, win_no order by elem_no rows between unbounded preceding and 1 preceding), false) as seen from el)
+select session, agent, win_no::bigint as win_no, count(*) filter (search)::bigint as searches, count(*) filter (search and not seen)::bigint as early, count(*) filter (symbol)::bigint as symbols, bool_or(nav) as nav from st group by all""")
+def window_metrics(spark, d):
+    return usage.window_metrics(_windows(spark, d))
+
+
+@query(f"with {EVENTS_SQL}, p as (select session, min(case when is_nav then rn end) as b from (select *, row_number() over (partition by session order by seq) - 1 as rn from ev) group by 1), v as (select list_sort(list(b) filter (b is not null)) as l, count(*) as n, count(b) as m from p) select n::bigint as sessions, m::bigint as with_nav, coalesce(l[m // 2 + 1], -1)::bigint as upper_median from v")
 def session_first_nav_median(spark, d):
     return usage.first_nav_median(tool_log(spark, d))
 
 
-@query(f"with {EVENTS_SQL.replace('event_id % 3 = 0', 'false')}, w as (select *, lead(class) over (partition by session, prompt_id order by seq) as nxt from ev) select class as a, nxt as b, count(*)::bigint as n from w where nxt is not null group by 1, 2")
+@query(f"with {WINDOWS_SQL}, c as (select distinct session, agent, win_no, elem_no, class from wn), o as (select distinct session, agent, win_no, elem_no, lead(elem_no) over (partition by session, agent, win_no order by elem_no) as nxt from (select distinct session, agent, win_no, elem_no from wn)) select a.class as a, b.class as b, count(*)::bigint as n from o join c a using (session, agent, win_no, elem_no) join c b on b.session = o.session and b.agent = o.agent and b.win_no = o.win_no and b.elem_no = o.nxt group by 1, 2")
 def bigrams(spark, d):
-    rows = tool_log(spark, d).withColumn("parallel", F.lit(False))
-    # One window for each prompt, by its name.
-    return usage.bigrams(usage.elements(rows).withColumn("win_no", F.col("prompt_id")))
+    return usage.bigrams(_windows(spark, d))
 
 
-@query(f"with {EVENTS_SQL} select prompt_id as day, count(*)::bigint as events, count(*) filter (class = 'nav')::bigint as nav, count(*) filter (class = 'search')::bigint as search from ev group by 1")
+@query(f"with {RUNS_SQL} select strftime(ts, '%Y-%m-%d') as day, count(*) filter (outcome = 'adoption')::bigint as adoption, count(*) filter (outcome = 'fallback')::bigint as fallback from judged group by 1")
 def daily_trend(spark, d):
-    return tool_log(spark, d).groupBy(F.col("prompt_id").alias("day")).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("class") == "nav").alias("nav"), F.count_if(F.col("class") == "search").alias("search"))
+    return usage.daily_trend(_windows(spark, d))
 
 
-@query(r"with w as (select unnest(string_split(text, ' ')) as p from documents) select case when trim(p) = '' then 'none' when regexp_matches(p, '^[A-Za-z_][A-Za-z0-9_.]*$') and regexp_matches(p, '^.+[_A-Z.]') then 'symbol' when regexp_matches(p, '[\\^$*+?()\[\]{}|]') then 'regex' else 'literal' end as shape, count(*)::bigint as n from w group by 1")
+@query(f"with w as (select unnest(string_split(text, ' ')) as p from documents union all select unnest(['class PublishBody', '\"getUser\"', 'a.b', 'three small words', 'HTTP \\', '', '*.go', '_x'])) select {shape_sql('p')} as shape, count(*)::bigint as n from w group by 1")
 def shape_histogram(spark, d):
-    return table(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("p")).groupBy(T.pattern_shape(F.col("p")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ", -1)).alias("pattern"))
+    odd = spark.createDataFrame([(x,) for x in ("class PublishBody", '"getUser"', "a.b", "three small words", "HTTP \\", "", "*.go", "_x")], "pattern string")
+    return usage.shapes(words.unionByName(odd).withColumn("class", F.lit("search")))
 
 
-@query(f"with {RUNS_SQL} select session, seq, ts from runs where outcome = 'fallback' order by ts desc, session, seq limit 20")
+@query(f"with {RUNS_SQL} select session, seq, query_ts, query, pattern, same_intent from judged where outcome = 'fallback' and query is not null order by query_ts desc, session, seq limit 20")
 def fallback_pairs(spark, d):
-    runs = usage.nav_runs(_windows(spark, d)).filter("outcome = 'fallback'")
-    return runs.join(tool_log(spark, d).select("session", "seq", "ts"), ["session", "seq"]).select("session", "seq", "ts").orderBy(F.desc("ts"), "session", "seq").limit(20)
+    return usage.fallback_pairs(_windows(spark, d))
 
 
 @query(None)
@@ -314,7 +331,10 @@ def prune_counts(spark, d):
     return changes.prune(e, "ts", F.lit(last).cast("timestamp_ntz") - F.expr("interval 7 days"))
 
 
-_KEYS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: length(w) >= 2))"
+_SPLIT = r"list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{L})(\p{Nd})', '\1 \2', 'g'), '(\p{Nd})(\p{L})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g')), '[^\p{L}\p{Nd}]+'), lambda p: p <> '')"
+_TOKENS = f"(case when len({_SPLIT}) > 1 then list_append({_SPLIT}, array_to_string({_SPLIT}, '')) else {_SPLIT} end)"
+_CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
+_KEYS = rf"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{Nd}}_\-]+'), lambda w: length(w) >= 2), lambda w: list_concat({_TOKENS}, case when regexp_matches(w, '{_CJK}') then list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) else [] end))))"
 
 
 @query(f"with a as (select item_id as task_id, unnest({_KEYS}) as word from benchmark), b as (select distinct conv_id as set_id, unnest({_KEYS}) as word from conversations where turn = 0) select task_id, set_id, count(*)::bigint as words from a join b using (word) group by 1, 2 having count(*) >= 5")
@@ -367,7 +387,7 @@ def _pages(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
 
 
-_HIT = "(contains(lower({0}), 'nation') or contains(lower({0}), 'heron') or contains(lower({0}), 'table'))"
+_HIT = "(contains(lower({0}), 'nation heron table') or contains(lower({0}), 'nation') or contains(lower({0}), 'heron') or contains(lower({0}), 'table'))"
 _NEAR = f"l as (select page_id::varchar as path, unnest(string_split(html, chr(10))) as line, generate_subscripts(string_split(html, chr(10)), 1) - 1 as line_no from pages), n as (select *, max(case when {_HIT.format('line')} then 1 else 0 end) over (partition by path order by line_no rows between 3 preceding and 3 following) as near from l)"
 
 
@@ -381,8 +401,8 @@ def grep_context_bytes(spark, d):
     return evaluate.grep_lines(_pages(spark, d), ASK, 3).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line") + 1).cast("long").alias("bytes"))
 
 
-@query(f"""with {_NEAR}, g as (select *, line_no - row_number() over (partition by path order by line_no) as g from n where near = 1),
-r as (select path, min(line_no)::int as start, max(line_no)::int as "end", count(*) filter ({_HIT.format('line')})::bigint as matches from g group by path, g) select * from r order by matches desc, path, start limit 100""")
+@query(f"""with {_NEAR}, m as (select path, count(*) filter ({_HIT.format('line')})::bigint as matches from l group by 1), g as (select *, line_no - row_number() over (partition by path order by line_no) as g from n where near = 1),
+r as (select path, (min(line_no) + 1)::int as start, (max(line_no) + 1)::int as "end", any_value(matches) as matches from g join m using (path) group by path, g) select * from r order by matches desc, path, start limit 100""")
 def grep_regions(spark, d):
     return evaluate.grep_regions(_pages(spark, d), ASK, 3)
 
@@ -393,13 +413,21 @@ def bench_savings(spark, d):
     return evaluate.savings(nav, evaluate.grep_full(_pages(spark, d), ASK))
 
 
-@query(r"""with w as (select item_id as issue_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_.]+')) as query from benchmark),
-i as (select issue_id, 1 as tier, count(*) as n, query from w where regexp_matches(query, '^[A-Za-z_][A-Za-z0-9_.]*$') and regexp_matches(query, '^.+[_A-Z.]') group by 1, 4),
-a as (select item_id as issue_id, 0 as tier, 0 as n, substr(trim(string_split(text, chr(10))[1]), 1, 120) as query from benchmark union all select * from i),
-f as (select *, row_number() over (partition by issue_id, lower(query) order by tier, n desc, query) as o from a where query <> ''),
-r as (select *, row_number() over (partition by issue_id order by tier, n desc, query)::int as rank from f where o = 1) select issue_id, rank, query from r where rank <= 5""")
+_CUT = "list_last(list_filter(list_transform(range(0, 121), lambda k: substr({0}, 1, k)), lambda c: strlen(c) <= 120))"
+
+
+@query(rf"""with b as (select item_id as issue_id, text || chr(10) || '`a_b` and `doc_' || item_id % 3 || '` fooBar fooBar my_name' as text from benchmark),
+l as (select issue_id, trim(ltrim(line, '# ')) as q, generate_subscripts(lines, 1) as i from (select issue_id, string_split(text, chr(10)) as lines, unnest(string_split(text, chr(10))) as line from b)),
+t as (select issue_id, 0 as tier, 0::bigint as place, arg_min(q, i) as q from l where q <> '' group by 1),
+p as (select issue_id, 1 as tier, unnest(range(1, len(x) + 1)) as place, unnest(x) as q from (select issue_id, regexp_extract_all(text, '`([^`\n]{{2,80}})`', 1) as x from b)),
+w as (select issue_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) as q from b), i as (select issue_id, 2 as tier, -count(*) as place, q from w where regexp_matches(q, '^.+[_A-Z]') group by 1, 4),
+u as (select issue_id, tier, place, trim(q) as q from t union all select issue_id, tier, place, trim(q) from p union all select issue_id, tier, place, q from i),
+c as (select issue_id, tier, place, {_CUT.format('q')} as q from u),
+f as (select *, row_number() over (partition by issue_id, lower(q) order by tier, place, q) as o from c where q <> ''),
+r as (select *, row_number() over (partition by issue_id order by tier, place, q)::int as rank from f where o = 1) select issue_id, rank, q as query from r where rank <= 5""")
 def derive_queries(spark, d):
-    return evaluate.derive_queries(table(spark, d, "benchmark").select(F.col("item_id").alias("issue_id"), "text"))
+    issue = F.concat("text", F.lit("\n`a_b` and `doc_"), (F.col("item_id") % 3).cast("string"), F.lit("` fooBar fooBar my_name"))
+    return evaluate.derive_queries(table(spark, d, "benchmark").select(F.col("item_id").alias("issue_id"), issue.alias("text")), 5)
 
 
 @query("select event_id, (props->>'k')::int as k from events where (props->>'k') is not null")

@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
 
-#: Languages by suffix, and folders and files never read.
-SUFFIXES = {".java": "java", ".kt": "kotlin", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".md": "markdown", ".markdown": "markdown", ".sql": "sql", ".prisma": "prisma", ".json": "json", ".yml": "yaml", ".yaml": "yaml", ".xml": "xml", ".toml": "toml", ".txt": "text"}
-SKIPPED_DIRS = (".git", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", ".idea")
-SKIPPED_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "poetry.lock")
+#: Languages by suffix, plain files by suffix and name, and folders and files never read.
+SUFFIXES = {".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".py": "python", ".go": "go", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".tsx": "tsx", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".md": "markdown", ".markdown": "markdown"}
+MINIFIED = (".min.js", ".min.mjs", ".min.cjs")
+PLAIN_SUFFIXES = (".yml", ".yaml", ".properties", ".json", ".xml", ".sql", ".toml", ".txt", ".conf", ".ini", ".cfg", ".gradle", ".sh", ".prisma")
+PLAIN_NAMES = ("Dockerfile", "Makefile", "makefile", "Jenkinsfile")
+SKIPPED_DIRS = ("build", "out", "target", ".gradle", "__pycache__", "venv", ".venv", "node_modules", "dist", ".next", "coverage", ".git")
+SKIPPED_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "poetry.lock", "uv.lock", "gradle.lockfile", "composer.lock", "Gemfile.lock")
 
 
-def language(path: Column) -> Column:
-    """Language by suffix; minified scripts have none."""
-    out = F.when(F.endswith(path, F.lit(".min.js")), None)
+def language(path: Column, schema_suffix: str = ".schema.json") -> Column:
+    """Language by suffix; minified scripts have none; snapshots of databases end in ``schema_suffix``."""
+    ends = lambda xs: reduce(or_, (F.endswith(path, F.lit(x)) for x in xs))
+    out = F.when(ends(MINIFIED), None)
     for suffix, name in SUFFIXES.items():
-        out = out.when(F.endswith(F.lower(path), F.lit(suffix)), name)
-    return out
+        out = out.when(F.endswith(path, F.lit(suffix)), name)
+    name = F.substring_index(path, "/", -1)
+    return out.when(F.endswith(path, F.lit(schema_suffix)), "dbschema").when(name.isin(*PLAIN_NAMES) | ends(PLAIN_SUFFIXES), "plain")
 
 
-def admissible(path: Column, length: Column, most: int = 1 << 20) -> Column:
-    """Whether a file is read."""
+def admissible(path: Column, length: Column, most: int = 1 << 20, own_dir: str = ".textloom") -> Column:
+    """Whether a file is read; ``own_dir`` is the folder of the engine's own files."""
     parts = F.split(path, "/")
-    return language(path).isNotNull() & (length <= most) & ~F.exists(parts, lambda p: p.isin(*SKIPPED_DIRS)) & ~F.element_at(parts, -1).isin(*SKIPPED_FILES)
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return language(path).isNotNull() & (length <= most) & ~F.exists(folders, lambda p: p.isin(*SKIPPED_DIRS, own_dir)) & ~F.element_at(parts, -1).isin(*SKIPPED_FILES)
 
 
 def workspace(spark: SparkSession, root: str) -> DataFrame:
