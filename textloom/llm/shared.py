@@ -1,23 +1,12 @@
-"""Tables that cut lineage, written where every executor and the driver can read them."""
+"""What the corpus operators share: stored tables, bounded Arrow batches, inputs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..sources.stored import shared_dir, stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset and all runs on one machine (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["lean", "shared_dir", "stash", "table"]
 
 
 def lean(df: DataFrame) -> SparkSession:
@@ -28,17 +17,5 @@ def lean(df: DataFrame) -> SparkSession:
     return spark
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def long_id(df: DataFrame, name: str):
-    return F.col(name).cast("long").alias(name)
