@@ -45,7 +45,9 @@ def tokenize(x: Column) -> Column:
     words = F.filter(F.split(x, _WORD_CUT, -1), lambda w: w != "")
 
     def both(w):
-        return let(split_identifier(w), lambda parts: F.when(F.size(parts) > 1, F.array_append(parts, F.array_join(parts, ""))).otherwise(parts))
+        several = let(split_identifier(w), lambda parts: F.when(F.size(parts) > 1, F.array_append(parts, F.array_join(parts, ""))).otherwise(parts))
+        # Plain words have one part: the costly cut, which looks around, is for the others.
+        return F.when(w.rlike(r"^\p{Lu}?\p{Ll}+$"), F.array(F.lower(w))).otherwise(several)
 
     return F.flatten(F.transform(words, both))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, evaluate, graph, knowledge, lexical, usage, vector
+from ..operators import changes, evaluate, graph, knowledge, lexical, resolve, usage, vector
 from ..sources import formats
 from .tables import EDGES_SQL, EVENTS_SQL, RUNS_SQL, TOKENS_SQL, WINDOWS_SQL, fk_edges, shape_sql, table, tool_log
 
@@ -155,6 +155,54 @@ def tiered_resolve(spark, d):
     return graph.resolve(calls, known, F.when(F.col("s_nationkey") == F.col("c_nationkey"), 1).when(F.col("r") == F.col("q"), 2).otherwise(3))
 
 
+_NAMES = [*(f"f{i}" for i in range(36)), "get", "Parse", "OrderItem", "find"]
+_STOP = "', '".join(resolve.STOPPED)
+_FIT = "(args < 0 or (args >= arity_min and (arity_max = -1 or args <= arity_max)))"
+_SEEN = "(list_contains(imports, class_fqn) or len(list_filter(imports, lambda i: ends_with(i, '.' || d.name) and starts_with(d.id, substr(i, 1, length(i) - length(d.name))))) > 0 or len(list_filter(imports, lambda i: ends_with(i, '.*') and (starts_with(class_fqn, substr(i, 1, length(i) - 1)) or d.pkg = substr(i, 1, length(i) - 2)))) > 0)"
+
+
+@query(f"""with names as (select ['{"', '".join(_NAMES)}'] as n),
+d as (select case when k % 7 < 2 then pkg || '.K' || k else pkg || '.K' || k % 5 || '.' || name || '#' || k end as id, pkg, case when k % 7 < 2 then pkg || '.K' || k else pkg || '.K' || k % 5 end as class_fqn, name,
+             case k % 7 when 0 then 'class' when 1 then 'interface' when 2 then 'function' else 'method' end as kind, 'f' || k % 400 as file, k % 3 as arity_min, case when k % 4 = 0 then -1 else k % 3 + k % 2 end as arity_max
+      from (select c_custkey as k, 'p' || c_nationkey as pkg, n[c_custkey % 40 + 1] as name from customer, names)),
+s as (select 's.N' || k as source_id, 'p' || c as pkg, 'f' || k % 400 as file, case when k % 2 = 0 then 'class' else 'method' end as kind, case when k % 3 = 0 then 'x' else '' end as container,
+             ['p' || (c + 1) % 25 || '.*', 'p' || (c + 2) % 25 || '.K3', 'p' || (c + 3) % 25 || '.K1.' || n[k % 40 + 1], 'p' || c || '.K' || k] as imports, [n[k % 40 + 1], 'x.' || n[(k + 7) % 40 + 1] || '<T>'] as supers, ['s.N' || (k + 1)] as contains,
+             [{{'name': n[k % 40 + 1], 'args': k % 4 - 1}}, {{'name': n[k * 3 % 40 + 1], 'args': 1}}, {{'name': n[k * 7 % 40 + 1], 'args': 2}}, {{'name': 'get', 'args': 0}}] as calls
+      from (select s_suppkey as k, s_nationkey as c, n from supplier, names)),
+cont as (select source_id, unnest(contains) as target_id, 'contains' as type, 1.0::double as confidence, 0 as rule from s),
+su as (select source_id, pkg, imports, regexp_replace(replace(unnest(supers), 'x.', ''), '<.*', '') as name from s),
+sp as (select source_id, d.id, d.kind, case when d.pkg = su.pkg then 1 when {_SEEN} then 2 else 3 end as tier, su.name from su join d on d.name = su.name),
+sb as (select *, min(tier) over (partition by source_id, name) as best from sp),
+sup as (select source_id, id as target_id, case kind when 'interface' then 'implements' else 'extends' end as type, case when tier = 3 then 0.8::double else 1.0::double end as confidence, 1 as rule from sb where tier = best and kind in ('class', 'interface')),
+imp as (select source_id, id as target_id, 'import' as type, 1.0::double as confidence, 2 as rule from (select source_id, unnest(imports) as i from s where container = '' and kind = 'class') join d on id = i and d.kind in ('class', 'interface')),
+ca as (select distinct source_id, pkg, file, imports, c.name as name, c.args as args from (select source_id, pkg, file, imports, unnest(calls) as c from s)),
+cp as (select source_id, ca.name, args, d.id, d.kind in ('method', 'function') as callable, d.file = ca.file as own, case when d.pkg = ca.pkg then 1 when {_SEEN} then 2 else 3 end as tier from ca join d on d.name = ca.name where d.kind in ('class', 'interface') or (d.kind in ('method', 'function') and {_FIT})),
+cs as (select *, bool_or(callable and own) over w as selfish, bool_or(callable) over w as calls from cp window w as (partition by source_id, name, args)),
+ck as (select *, min(tier) over w as best, count(*) over w as n from cs where callable = calls window w as (partition by source_id, name, args)),
+us as (select source_id, id as target_id, case when callable then 'call' else 'reference' end as type, case when selfish then 1.0::double when tier = 1 then 0.95::double when tier = 2 then 0.9::double else 0.8::double end as confidence, 3 as rule
+       from ck where case when selfish then own and callable else tier = best and (tier < 3 or (n <= 5 and lower(name) not in ('{_STOP}'))) end),
+al as (select * from cont union all select * from sup union all select * from imp union all select * from us)
+select source_id, target_id, arg_min(type, (-confidence, rule)) as type, max(confidence) as confidence from al where source_id <> target_id group by 1, 2""")
+def resolve_edges(spark, d):
+    k, c = F.col("k"), F.col("c")
+    names = F.array(*map(F.lit, _NAMES))
+    name = lambda i: F.element_at(names, (i % 40 + 1).cast("int"))
+    cat = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), cat("p", F.col("c_nationkey")).alias("pkg"), name(F.col("c_custkey")).alias("name"))
+    rows = rows.withColumn("class_fqn", F.when(k % 7 < 2, cat(F.col("pkg"), ".K", k)).otherwise(cat(F.col("pkg"), ".K", k % 5)))
+    known = rows.select(
+        F.when(k % 7 < 2, F.col("class_fqn")).otherwise(cat(F.col("class_fqn"), ".", F.col("name"), "#", k)).alias("id"), "pkg", "class_fqn", "name",
+        F.when(k % 7 == 0, "class").when(k % 7 == 1, "interface").when(k % 7 == 2, "function").otherwise("method").alias("kind"), cat("f", k % 400).alias("file"), (k % 3).alias("arity_min"), F.when(k % 4 == 0, -1).otherwise(k % 3 + k % 2).alias("arity_max"),
+    )
+    call = lambda n, a: F.struct(n.alias("name"), a.cast("long").alias("args"))
+    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("c")).select(
+        cat("s.N", k).alias("id"), cat("p", c).alias("pkg"), cat("f", k % 400).alias("file"), F.when(k % 2 == 0, "class").otherwise("method").alias("kind"), F.when(k % 3 == 0, "x").otherwise("").alias("container"),
+        F.array(cat("p", (c + 1) % 25, ".*"), cat("p", (c + 2) % 25, ".K3"), cat("p", (c + 3) % 25, ".K1.", name(k)), cat("p", c, ".K", k)).alias("imports"), F.array(name(k), cat("x.", name(k + 7), "<T>")).alias("supers"), F.array(cat("s.N", k + 1)).alias("contains"),
+        F.array(call(name(k), k % 4 - 1), call(name(k * 3), F.lit(1)), call(name(k * 7), F.lit(2)), call(F.lit("get"), F.lit(0))).alias("calls"),
+    )
+    return resolve.resolve_edges(nodes, known)
+
+
 @query("""with d as (select 'n' || n_nationkey as id, n_name as name, case n_nationkey % 3 when 0 then 'table' when 1 then 'view' else 'function' end as kind, n_regionkey as datasource from nation),
 r as (select 's' || s_suppkey as source_id, case when s_suppkey % 2 = 0 then 'table' else 'trigger' end as source_kind, s_suppkey % 5 as datasource, s_nationkey + case when s_suppkey % 7 = 0 then 100 else 0 end as k, s_nationkey from supplier),
 e as (select source_id, 'n' || k as target_id, case when source_kind = 'table' then 'foreign_key' when kind = 'function' then 'call' else 'reference' end as type, 1.0::double as confidence from r left join d on id = 'n' || k
