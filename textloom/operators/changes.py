@@ -1,4 +1,4 @@
-"""Snapshots, diffs, change logs."""
+"""Snapshots, diffs, change logs."""
 
 from __future__ import annotations
 

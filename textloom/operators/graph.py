@@ -1,4 +1,4 @@
-"""Tiered resolution, database references, exploring, dangling edges (J4 without arity, J8-J10, T4, T5, T12, A4-A7, G2-G8, X8)."""
+"""Tiered resolution, database references, exploring, dangling edges (J4 without arity, J8-J10, T4, T5, T12, A4, A6, G2, G3, G8, X8)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Knowledge sets: task matching, drift, prerequisites, budgets."""
+"""Knowledge sets: task matching, drift, prerequisites, budgets."""
 
 from __future__ import annotations
 

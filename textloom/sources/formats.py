@@ -1,4 +1,4 @@
-"""Readers that turn files into rows."""
+"""Readers that turn files into rows (S1-S3 without ignore rules, S5, S22, S23; S11, S13 and W9 in part)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the change operators."""
+"""Structured Streaming forms of the change operators (X2 and the hand-over of its batches)."""
 
 from __future__ import annotations
 
