@@ -1,4 +1,4 @@
-"""Readers that turn files into rows (S1-S3 without ignore rules, S5, S22, S23; S11, S13 and W9 in part)."""
+"""Readers that turn files into rows (S1-S3, S5, S22, S23; S11, S13 and W9 in part)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
+from ..functions.text import let, slug
 
 #: Languages by suffix, plain files by suffix and name, and folders and files never read.
 SUFFIXES = {".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".py": "python", ".go": "go", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".tsx": "tsx", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".md": "markdown", ".markdown": "markdown"}
@@ -37,7 +37,7 @@ def admissible(path: Column, length: Column, most: int = 1 << 20, own_dir: str =
 
 
 def workspace(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, content) of the admissible files below a folder."""
+    """(path, length, content) of the admissible files below a folder; ``ignore`` has the rules of ignore files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.filter(admissible(F.col("path"), F.col("length"))).select("path", "length", F.decode("content", "UTF-8").alias("content"))
 
@@ -63,12 +63,28 @@ def markdown_sections(files: DataFrame) -> DataFrame:
 
 
 def sql_tables(text: Column) -> Column:
-    """Tables named after FROM, JOIN, INTO, UPDATE or TABLE in a SQL literal."""
+    """Names with their qualifiers, as written; ``referenced_tables`` has S22's rules: tables named after FROM, JOIN, INTO, UPDATE or TABLE in a SQL literal."""
     sql = text.rlike(r"(?i)\b(select|insert|update|delete|create)\b")
     names = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:from|join|into|update|table)\s+([A-Za-z_][A-Za-z0-9_.]*)"), F.lit(1))
     return F.when(sql, F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
 
 
+#: Words after an anchor that are no tables.
+NO_TABLES = ("select", "where", "values", "set", "lateral", "only", "unnest", "generate_series")
+
+
+def referenced_tables(text: Column) -> Column:
+    """The tables a SQL literal reads or writes, without qualifiers, the first of each whatever its case.
+
+    Names follow FROM or JOIN if the literal selects or deletes, INSERT INTO, and UPDATE if it has SET.
+    """
+    has = lambda w: text.rlike(f"(?i)(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])")
+    after = lambda anchor, ok: F.when(ok, F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{anchor})\s+([A-Za-z_][A-Za-z0-9_$.]*)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(after("from|join", (has("select") | has("delete")) & has("from")), after(r"insert\s+into", has("insert")), after("update", has("update") & has("set")))
+    names = F.filter(F.transform(found, lambda n: F.substring_index(n, ".", -1)), lambda n: (n != "") & ~F.lower(n).isin(*NO_TABLES))
+    return let(names, lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, F.lower), F.lower(x)) == i + 1))
+
+
 def snapshot_tables(files: DataFrame) -> DataFrame:
     """(path, schema, name, column, type) of database snapshots; malformed files give none."""
     shape = "schemas map<string, struct<tables: map<string, struct<columns: array<struct<name: string, type: string>>>>>>"
