@@ -1,8 +1,8 @@
-"""Reading costs and exploration baselines."""
+"""Reading costs, exploration and its baselines."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_identifier_shaped, strip, terms, truncate_bytes
@@ -53,3 +53,34 @@ def derive_queries(issues: DataFrame, n: int = 3) -> DataFrame:
     first = both.groupBy("issue_id", F.lower("query").alias("k")).agg(F.min(F.struct("tier", "place", "query")).alias("r"))
     w = Window.partitionBy("issue_id").orderBy("r")
     return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("issue_id", "rank", F.col("r.query").alias("query"))
+
+
+#: The settings of a sweep.
+SWEEP_TOP, SWEEP_FUSION, SWEEP_LEAST = (5, 10, 20), (20, 60, 100), (0.75, 0.85, 0.95)
+
+
+def sweep(spark: SparkSession) -> DataFrame:
+    """(name, top_k, rrf_k, least) of every combination of settings."""
+    rows = [(f"k{k}-rrf{r}-mc{round(100 * c)}", k, r, c) for k in SWEEP_TOP for r in SWEEP_FUSION for c in SWEEP_LEAST]
+    return spark.createDataFrame(rows, "name string, top_k int, rrf_k int, least double")
+
+
+def explored_regions(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, least: float = 0.85, page: int = 20, most_lines: int = 400, most: int = 100) -> DataFrame:
+    """(task_id, rank, path, start, end): seeds, then one page of neighbours of each, as regions of files.
+
+    seeds: (task_id, query_no, rank, node_id); nodes: (node_id, kind, package, path, start, end).  Whole files, regions of
+    more than ``most_lines`` and repeated ones are left out; a task reports ``most``.
+    """
+    first = seeds.groupBy("task_id", "node_id").agg(F.min(F.struct("query_no", "rank")).alias("seed")).join(nodes.select("node_id", "package"), "node_id", "left")
+    uses = first.join(edges.select(F.col("source_id").alias("node_id"), F.col("target_id").alias("id"), "confidence"), "node_id").withColumn("section", F.lit(0))
+    used = first.join(edges.select(F.col("target_id").alias("node_id"), F.col("source_id").alias("id"), "confidence"), "node_id").withColumn("section", F.lit(1))
+    foreign = ~F.startswith("id", F.coalesce("package", F.lit("")))
+    place = F.row_number().over(Window.partitionBy("task_id", "node_id").orderBy("section", F.desc("confidence"), foreign, "id"))
+    near = uses.unionByName(used).filter(F.col("confidence") >= least).withColumn("place", place).filter(F.col("place") <= page)
+    at = lambda stage, place: F.struct(F.lit(stage).alias("stage"), "seed", place.alias("place")).alias("at")
+    visits = first.select("task_id", "node_id", at(0, F.lit(0))).unionByName(near.select("task_id", F.col("id").alias("node_id"), at(1, F.col("place"))))
+    visits = visits.groupBy("task_id", "node_id").agg(F.min("at").alias("at"))
+    regions = visits.join(nodes.filter((F.col("kind") != "file") & (F.col("end") - F.col("start") < most_lines)).drop("package"), "node_id")
+    regions = regions.groupBy("task_id", "path", "start", "end").agg(F.min("at").alias("at"))
+    rank = F.row_number().over(Window.partitionBy("task_id").orderBy("at"))
+    return regions.withColumn("rank", rank).filter(F.col("rank") <= most).select("task_id", "rank", "path", "start", "end")

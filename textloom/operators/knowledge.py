@@ -1,4 +1,4 @@
-"""Knowledge sets: task matching, drift, prerequisites, budgets."""
+"""Knowledge sets: roles, task matching, drift, prerequisites, budgets (J17-J20, P20, P21, A19, A20, T10, K1, K10; K3 without redirects)."""
 
 from __future__ import annotations
 
@@ -70,3 +70,40 @@ def budget_prefix(blocks: DataFrame, by: str, order: str, size: str, budget: int
     """The blocks of each request, in order, whose running size stays in the budget; the rest are omitted."""
     total = F.sum(size).over(Window.partitionBy(by).orderBy(order))
     return blocks.withColumn("running", total).withColumn("kept", F.col("running") <= budget)
+
+
+def tagged(rows: DataFrame, tags: str, asked: DataFrame) -> DataFrame:
+    """P20: rows with the roles of ``asked`` (role) that their tags name, whatever their case; ``all`` names every role."""
+    keys = asked.select("role", F.explode(F.array(F.lower("role"), F.lit("all"))).alias("key"))
+    return rows.withColumn("key", F.explode(F.array_distinct(F.transform(tags, F.lower)))).join(keys, "key").drop("key").distinct()
+
+
+def select_sets(tasks: DataFrame, sets: DataFrame, least: int = 2) -> DataFrame:
+    """K1: (task_id, set_id, how): sets for the role of a task, then sets its words match.
+
+    tasks: (task_id, role, text); sets: (set_id, heading, labels, roles).  One word of the
+    heading or ``least`` of heading and labels match.  ``expand`` adds prerequisites.
+    """
+    pushed = tagged(sets.select("set_id", "roles"), "roles", tasks.select("role").filter("role is not null").distinct()).select("role", "set_id").distinct()
+    pushed = tasks.join(pushed, "role").select("task_id", "set_id", F.lit("pushed").alias("how"))
+    words = tasks.select("task_id", F.explode(word_keys(F.col("text"))).alias("word"))
+    keys = sets.select("set_id", F.explode(word_keys(F.concat_ws(" ", "heading", "labels"))).alias("word"), word_keys(F.coalesce("heading", F.lit(""))).alias("own")).select("set_id", "word", F.array_contains("own", F.col("word")).alias("heading"))
+    met = words.join(keys, "word").groupBy("task_id", "set_id").agg(F.count(F.lit(1)).alias("words"), F.bool_or("heading").alias("heading"))
+    matched = met.filter(F.col("heading") | (F.col("words") >= least)).select("task_id", "set_id", F.lit("matched").alias("how"))
+    return pushed.unionByName(matched).groupBy("task_id", "set_id").agg(F.max("how").alias("how"))
+
+
+def skill_items(roles: DataFrame, terms: DataFrame, sets: DataFrame, budget: int = 12) -> DataFrame:
+    """(role, place, kind, name, kept): what a role's block holds: terms (name, scope, status) that are no drafts, then sets (name, roles), each by name."""
+    some = tagged(terms.filter("status is null or status != 'draft'").select("name", "scope"), "scope", roles).select("role", F.lit("term").alias("kind"), "name")
+    every = some.unionByName(tagged(sets.select("name", "roles"), "roles", roles).select("role", F.lit("set").alias("kind"), "name")).distinct()
+    place = F.row_number().over(Window.partitionBy("role").orderBy(F.desc("kind"), "name"))
+    return every.withColumn("place", place).withColumn("kept", F.col("place") <= budget).select("role", "place", "kind", "name", "kept")
+
+
+def nodes_drift(asked: DataFrame, pins: DataFrame, current: DataFrame) -> DataFrame:
+    """K3: (node_id, state): nodes asked by id: ok if any set's pin still holds, drift if none does, unpinned, or gone."""
+    now = asked.select("node_id").distinct().join(current, "node_id", "left").join(pins.select("node_id", F.col("hash").alias("pinned")), "node_id", "left")
+    each = now.groupBy("node_id").agg(F.max("hash").alias("hash"), F.count("pinned").alias("pins"), F.bool_or(F.col("pinned") == F.col("hash")).alias("holds"))
+    state = F.when(F.col("hash").isNull(), "gone").when(F.col("pins") == 0, "unpinned").when(F.col("holds"), "ok").otherwise("drift")
+    return each.select("node_id", state.alias("state"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import changes, evaluate, graph, knowledge, lexical, resolve, usage, vector
+from ..operators import changes, evaluate, graph, knowledge, lexical, resolve, search, usage, vector
 from ..sources import formats
 from .tables import EDGES_SQL, EVENTS_SQL, RUNS_SQL, TOKENS_SQL, WINDOWS_SQL, fk_edges, shape_sql, table, tool_log
 
@@ -496,3 +496,52 @@ def root_hash(spark, d):
 @query(None)
 def md_sections(spark, d):
     return formats.markdown_sections(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# Doc\n## Text\n"), "text", F.lit("\n## Text\n```\n# no\n```\n")).alias("content")))
+
+
+_PIN_ASKED = "select distinct query_id, unnest(string_split(q, ' ')) as term from (values (0::bigint, '7'), (1::bigint, 'where is doc 7 doc7 or 9 doc9'), (2::bigint, 'the of nation')) t(query_id, q)"
+
+
+@query(f"""with bm as ({_bm25_sql(_PIN_ASKED, 10)}), ask as (select * from (values (0::bigint, 0, '7'), (1::bigint, 0, 'Doc_7'), (1::bigint, 1, 'Doc_9')) t(query_id, word, name)),
+sym as (select doc_id as node_id, doc_id::varchar as name, 0 as by_name from documents union all select doc_id, 'Doc_' || (n_chars % 50), 1 from documents),
+hits as (select query_id, node_id, row_number() over (partition by query_id order by word, by_name, node_id) as place from ask join sym using (name) qualify place <= case query_id when 0 then 10 else 5 end),
+every as (select query_id, node_id, 0 as stream, place, 'exact' as match from hits union all select query_id, doc_id, 1, rank, 'lexical' from bm),
+once as (select * from every qualify row_number() over (partition by query_id, node_id order by stream, place) = 1)
+select query_id, rank, node_id, match from (select *, row_number() over (partition by query_id order by stream, place)::int as rank from once) where rank <= 10""")
+def pinned_search(spark, d):
+    docs, asked = table(spark, d, "documents"), _ask(spark, "7", "where is Doc_7, or Doc_9?", "the of nation")
+    symbols = docs.select(F.col("doc_id").alias("node_id"), F.concat(F.lit("Doc_"), (F.col("n_chars") % 50).cast("string")).alias("simple_name"))
+    found = lexical.bm25(docs, asked, 10).select("query_id", F.col("doc_id").alias("node_id"), "rank", F.lit("lexical").alias("match"))
+    return search.pinned(asked, symbols, found, 10)
+
+
+@query("select 'k' || k || '-rrf' || r || '-mc' || (100 * c)::int as name, k as top_k, r as rrf_k, c as least from (select unnest([5, 10, 20])::int as k), (select unnest([20, 60, 100])::int as r), (select unnest([0.75, 0.85, 0.95])::double as c)")
+def sweep_configs(spark, d):
+    return evaluate.sweep(spark)
+
+
+@query(f"""with {EDGES_SQL}, keys as (select 'nation.' || n_nationkey as node_id, n_nationkey as k from nation union all select 'region.' || r_regionkey, r_regionkey from region union all select 'customer.' || c_custkey, c_custkey from customer union all select 'supplier.' || s_suppkey, s_suppkey from supplier),
+seeds as (select n_regionkey as task_id, 'nation.' || n_nationkey as node_id, row_number() over (partition by n_regionkey order by n_nationkey) as seed from nation),
+hops as (select task_id, seed, 0 as section, target_id as id, confidence from seeds join edges on source_id = node_id union all select task_id, seed, 1, source_id, confidence from seeds join edges on target_id = node_id),
+near as (select *, row_number() over (partition by task_id, seed order by section, confidence desc, not starts_with(id, 'supplier'), id) as place from hops where confidence >= 0.85),
+visits as (select task_id, node_id, 0 as stage, seed, 0 as place from seeds union all select task_id, id, 1, seed, place from near where place <= 20),
+regions as (select task_id, 'p' || (k % 7) as path, k % 100 * 10 as start, k % 100 * 10 + k % 500 as "end", stage, seed, place from visits join keys using (node_id) where k % 11 <> 5 and k % 500 < 400),
+once as (select * from regions qualify row_number() over (partition by task_id, path, start, "end" order by stage, seed, place) = 1)
+select task_id, rank, path, start, "end" from (select *, row_number() over (partition by task_id order by stage, seed, place)::int as rank from once) where rank <= 100""")
+def exploration_regions(spark, d):
+    key = lambda t, k: table(spark, d, t).select(F.concat(F.lit(f"{t}."), F.col(k).cast("string")).alias("node_id"), F.col(k).cast("long").alias("k"))
+    keys = key("nation", "n_nationkey").unionByName(key("region", "r_regionkey")).unionByName(key("customer", "c_custkey")).unionByName(key("supplier", "s_suppkey"))
+    k, start = F.col("k"), F.col("k") % 100 * 10
+    nodes = keys.select("node_id", F.when(k % 11 == 5, "file").otherwise("method").alias("kind"), F.lit("supplier").alias("package"), F.concat(F.lit("p"), (k % 7).cast("string")).alias("path"), start.alias("start"), (start + k % 500).alias("end"))
+    seeds = table(spark, d, "nation").select(F.col("n_regionkey").alias("task_id"), F.lit(0).alias("query_no"), F.col("n_nationkey").alias("rank"), F.concat(F.lit("nation."), F.col("n_nationkey").cast("string")).alias("node_id"))
+    return evaluate.explored_regions(seeds, fk_edges(spark, d), nodes)
+
+
+@query("""with roles as (select distinct event_type as role from events), terms as (select distinct lang || source as name, case when doc_id % 3 = 0 then 'all' else 'View' end as tag from documents where doc_id % 5 > 0),
+sets as (select distinct 's' || o_orderkey % 40 as name, case when o_orderkey % 2 = 0 then 'error' else 'CLICK' end as tag from orders),
+items as (select role, 'term' as kind, name from roles join terms on lower(tag) in (role, 'all') union select role, 'set', name from roles join sets on lower(tag) = role)
+select role, place, kind, name, place <= 12 as kept from (select *, row_number() over (partition by role order by kind desc, name)::int as place from items)""")
+def skill_budget(spark, d):
+    docs, orders = table(spark, d, "documents"), table(spark, d, "orders")
+    terms = docs.select(F.concat("lang", "source").alias("name"), F.array(F.when(F.col("doc_id") % 3 == 0, "all").otherwise("View")).alias("scope"), F.when(F.col("doc_id") % 5 == 0, "draft").alias("status"))
+    sets = orders.select(F.concat(F.lit("s"), (F.col("o_orderkey") % 40).cast("string")).alias("name"), F.array(F.when(F.col("o_orderkey") % 2 == 0, "error").otherwise("CLICK")).alias("roles"))
+    return knowledge.skill_items(table(spark, d, "events").select(F.col("event_type").alias("role")).distinct(), terms.distinct(), sets.distinct())
