@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.sources import formats, ignore, python_code, slices
+from textloom.sources import formats, ignore, python_code, slices, snapshots
 
 IGNORE = [
     (".gitignore", "# comment\n*.log\n!keep.log\n/top.txt\nout*/\ndocs/**/tmp\n[bad\n\\!odd\n?.c\n[^a-c]x\n"),
@@ -105,3 +105,27 @@ def test_read_code(spark):
 def test_referenced_tables(spark, text, names):
     got = spark.createDataFrame([(text,)], "x string").select(formats.referenced_tables(F.col("x"))).first()[0]
     assert (got or None) == (names or None)
+
+
+SNAPSHOTS = [
+    ("db/shop.schema.json", '{"_meta": {"datasource": "main"}, "schemas": {"s": {"tables": {"a": {"columns": [{"name": "id", "type": "int"}, {"name": "x"}], "foreign_keys": [{"references": "s.b.id"}, {"references": "db.o.t.c.id", "enforced": false}, {"references": "b"}]}, "b": {}}, "views": {"v": {"definition": "SELECT n1 FROM a JOIN orders2"}, "w": {"references": ["s.a"]}}}, "empty": {}}}'),
+    ("shop.functions.schema.json", '{"schemas": {"s": {"functions": {"f": {"args": "i int", "definition": "select of orders, orders"}}, "procedures": {"p": {"references": ["s.a"]}}}}}'),
+    ("shop.rls.schema.json", '{"schemas": {"s": {"a": {"enabled": true}, "b": {"enabled": false}, "c": {"policies": [{"name": "own", "command": "ALL"}]}}}}'),
+    ("shop.triggers.schema.json", '{"schemas": {"s": {"a": [{"name": "t", "function": "s.f"}, {"name": ""}], "b": null}}}'),
+    ("x/bad.schema.json", '{"schemas": '), ("none.schema.json", "{}"), ("list.schema.json", '{"schemas": {"s": {"tables": {"a": {"columns": 3}}}}}'), ("null.schema.json", None), (None, "{}"),
+]
+
+
+def test_snapshot_nodes(spark):
+    rows = {r.node_id: r for r in snapshots.snapshot_nodes(spark.createDataFrame(SNAPSHOTS, "path string, content string")).collect()}
+    bad = {"x/bad.schema.json", "none.schema.json", "list.schema.json", "null.schema.json"}
+    assert set(rows) == bad | {"db." + x for x in ("main.s.a", "main.s.b", "main.s.v", "main.s.w", "shop.s.f", "shop.s.p", "shop.s.a.rls", "shop.s.c.rls", "shop.s.a.t")}
+    a = rows["db.main.s.a"]
+    assert (a.kind, a.params, a.supers, a.logical_refs, a.container) == ("table", ["id int", "x"], ["db.main.s.b"], ["db.o.t.c"], "s")
+    assert (rows["db.main.s.v"].calls, rows["db.main.s.w"].supers, rows["db.main.s.w"].calls) == (["orders2"], ["db.main.s.a"], [])
+    assert (rows["db.shop.s.f"].params, rows["db.shop.s.f"].calls, rows["db.shop.s.p"].kind) == (["i int"], ["orders"], "procedure")
+    assert (rows["db.shop.s.c.rls"].params, rows["db.shop.s.c.rls"].container, rows["db.shop.s.a.rls"].supers) == (["own ALL"], "s.c", ["db.shop.s.a"])
+    assert (rows["db.shop.s.a.t"].supers, rows["db.shop.s.a.t"].display) == (["db.shop.s.a", "db.shop.s.f"], "shop.s.a.t")
+    assert all(rows[b].partial and rows[b].kind == "file" for b in bad)
+    plain = snapshots.plain_nodes(spark.createDataFrame([("a/b/c.txt", "é"), ("top.md", None)], "path string, content string")).collect()
+    assert [(r.display, r.package, r.end_byte) for r in plain] == [("c.txt", "a.b", 2), ("top.md", "", None)]
