@@ -1,5 +1,6 @@
 """Hand-built cases of the operators, and every query against its SQL."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,13 +69,17 @@ def test_bm25_ties_and_no_match(spark):
 def test_nearest_neighbours_of_all_stated_queries(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     stated = {r["vec_id"] for r in rows.filter("vec_id % 50 = 0").select("vec_id").collect()}
-    assert len(stated) > 1 and {r["query_id"] for r in queries.QUERIES["knn_batch"](spark, SF).select("query_id").distinct().collect()} == stated
+    assert len(stated) > 1 and {r["query_id"] for r in queries.QUERIES["knn_topk"](spark, SF).select("query_id").distinct().collect()} == stated
     asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     every = lambda df: sorted(tuple(r) for r in df.select("query_id", "rank", "vec_id", "score").collect())
-    assert every(vector.knn_blocks(rows.repartition(3), asked, 4, block=15)) == every(vector.knn(rows, asked, 4))
+    ids, m = zip(*((r["vec_id"], r["embedding"]) for r in rows.collect()))
+    m = np.array(m, float)
+    m /= np.sqrt((m * m).sum(1))[:, None]
+    near = [(q, *p) for q, v in zip(ids, m) for p in ((rank, i, s) for rank, (s, i) in enumerate(sorted(((round(float(s), 6), i) for i, s in zip(ids, m @ v)), key=lambda x: (-x[0], x[1]))[:4], 1))]
+    assert [r[:3] for r in every(vector.knn(rows.repartition(3), asked, 4, block=15))] == [r[:3] for r in sorted(near)]
     odd = spark.createDataFrame([(3, [1.0, 0.0]), (2, [2.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [0.0, 0.0])], "vec_id long, embedding array<float>")
-    assert [(r["rank"], r["vec_id"]) for r in vector.knn_blocks(odd, odd.filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 9).orderBy("rank").collect()] == [(1, 2), (2, 3), (3, 4)]
-    assert vector.knn_blocks(odd.limit(0), asked.limit(0), 2).count() == 0
+    assert [(r["rank"], r["vec_id"]) for r in vector.knn(odd, odd.filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 9).orderBy("rank").collect()] == [(1, 2), (2, 3), (3, 4)]
+    assert vector.knn(odd.limit(0), asked.limit(0), 2).count() == 0
 
 
 def test_fusion(spark):

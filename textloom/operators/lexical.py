@@ -40,7 +40,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", te
     return ranked(scored, "query_id", [F.desc("score"), F.asc("doc_id")], k)
 
 
-def ranked(df: DataFrame, by: str, order: list, k: int) -> DataFrame:
+def ranked(df: DataFrame, by: str | list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
@@ -57,9 +57,9 @@ def pool_size(k: int, filtered: bool) -> int:
     return min(600, (24 if filtered else 3) * k)
 
 
-def fuse(streams: DataFrame, ks: DataFrame, top: int) -> DataFrame:
-    """A3: reciprocal-rank fusion of (stream, id, rank) for each constant of ks (k)."""
+def fuse(streams: DataFrame, ks: DataFrame, top: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """A3: reciprocal-rank fusion of (*by, stream, id, rank) for each constant of ks (k), a short stated list."""
     each = streams.crossJoin(F.broadcast(ks))
-    scored = each.groupBy("k", "id").agg(F.round(F.sum(1 / (F.col("k") + F.col("rank"))), 9).alias("score"), F.bool_or(F.col("stream") == "lexical").alias("lex"), F.bool_or(F.col("stream") == "semantic").alias("sem"))
+    scored = each.groupBy(*by, "k", "id").agg(F.round(F.sum(1 / (F.col("k") + F.col("rank"))), 9).alias("score"), F.bool_or(F.col("stream") == "lexical").alias("lex"), F.bool_or(F.col("stream") == "semantic").alias("sem"))
     kind = F.when(F.col("lex") & F.col("sem"), "both").when(F.col("lex"), "lexical").otherwise("semantic")
-    return ranked(scored.select("k", "id", "score", kind.alias("match")), "k", [F.desc("score"), F.asc("id")], top)
+    return ranked(scored.select(*by, "k", "id", "score", kind.alias("match")), [*by, "k"], [F.desc("score"), F.asc("id")], top)

@@ -16,12 +16,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of (vec_id, embedding) to each stated query."""
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("query")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("query"), F.col("query"))), 6).alias("score"))
-    return ranked(scored, "query_id", [F.desc("score"), F.asc("vec_id")], k)
-
-
 def _best(batches, ids, queries, k):
     """Each task's k best rows of every query: score, then smaller id."""
     norm = np.sqrt((queries * queries).sum(1))
@@ -42,8 +36,10 @@ def _best(batches, ids, queries, k):
     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in best])), pa.array(np.ascontiguousarray(rows["vec_id"])), pa.array(np.ascontiguousarray(rows["score"]))], names=["query_id", "vec_id", "score"])
 
 
-def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """As knn, for any number of queries: they travel in blocks of ``block``, and a task sends its k best rows of a query.
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of (vec_id, embedding) to each stated query (query_id, query).
+
+    Queries travel in blocks of about ``block``, whatever their number, and a task sends its k best rows of a query.
 
     Vectors of one length; those with nulls, NaN or infinity, without an id or without a length (all 0) take no part.
     """

@@ -83,36 +83,34 @@ def ident_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.identifier_tokens(F.col("text")))).alias("token"))
 
 
-_KNN = """q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 5),
+_KNN = """q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 50 = 0),
 s as (select query_id, vec_id, round(list_dot_product(embedding::double[], q) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(q, q)), 6) as score from embeddings, q),
 knn as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)"""
 
 
-@query(f"with {_KNN} select * from knn where rank <= 10")
-def knn_topk(spark, d):
+def _nearest(spark, d, k):
     v = table(spark, d, "embeddings")
-    asked = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.knn(v, asked, 10).select("query_id", "rank", "vec_id", "score")
+    return vector.knn(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
 
 
-@query(f"with {_KNN.replace('vec_id < 5', 'vec_id % 50 = 0')} select * from knn where rank <= 10")
-def knn_batch(spark, d):
-    v = table(spark, d, "embeddings")
-    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.knn_blocks(v, asked, 10).select("query_id", "rank", "vec_id", "score")
+@query(f"with {_KNN} select * from knn where rank <= 10")
+def knn_topk(spark, d):
+    return _nearest(spark, d, 10).select("query_id", "rank", "vec_id", "score")
 
 
 _LEX = _bm25_sql("select 0::bigint as query_id, unnest(['the', 'of', 'nation']) as term", 30)
 
 
-@query(f"""with lex as ({_LEX}), {_KNN}, streams as (select 'lexical' as stream, doc_id as id, rank from lex union all select 'semantic', vec_id, rank from knn where query_id = 0 and rank <= 30),
-ks as (select unnest([20, 60, 100])::int as k), fused as (select k, id, round(sum(1.0::double / (k + rank)), 9) as score, bool_or(stream = 'lexical') as l, bool_or(stream = 'semantic') as m from streams, ks group by 1, 2)
-select k, id, score, case when l and m then 'both' when l then 'lexical' else 'semantic' end as match, rank from (select *, row_number() over (partition by k order by score desc, id)::int as rank from fused) where rank <= 10""")
+@query(f"""with lex as ({_LEX}), {_KNN}, streams as (select q.query_id, 'lexical' as stream, doc_id as id, rank from lex, q union all select query_id, 'semantic', vec_id, rank from knn where rank <= 30),
+ks as (select unnest([20, 60, 100])::int as k), fused as (select query_id, k, id, round(sum(1.0::double / (k + rank)), 9) as score, bool_or(stream = 'lexical') as l, bool_or(stream = 'semantic') as m from streams, ks group by 1, 2, 3)
+select query_id, k, id, score, case when l and m then 'both' when l then 'lexical' else 'semantic' end as match, rank from (select *, row_number() over (partition by query_id, k order by score desc, id)::int as rank from fused) where rank <= 10""")
 def rrf_k_sweep(spark, d):
     lex = lexical.bm25(table(spark, d, "documents"), _ask(spark, "the of nation"), lexical.pool_size(10, False)).select(F.lit("lexical").alias("stream"), F.col("doc_id").alias("id"), "rank")
-    v = table(spark, d, "embeddings")
-    sem = vector.knn(v, v.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), lexical.pool_size(10, False))
-    return lexical.fuse(lex.unionByName(sem.select(F.lit("semantic").alias("stream"), F.col("vec_id").alias("id"), "rank")), spark.createDataFrame([(20,), (60,), (100,)], "k int"), 10)
+    asked = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    sem = _nearest(spark, d, lexical.pool_size(10, False)).select("query_id", F.lit("semantic").alias("stream"), F.col("vec_id").alias("id"), "rank")
+    # pool_size rows meet the stated queries.
+    streams = asked.crossJoin(F.broadcast(lex)).unionByName(sem)
+    return lexical.fuse(streams, spark.createDataFrame([(20,), (60,), (100,)], "k int"), 10, by=("query_id",))
 
 
 @query(f"with {EDGES_SQL} select type, count(distinct target_id)::bigint as targets, count(*)::bigint as edges from edges group by 1")
@@ -238,11 +236,11 @@ def code_to_tables(spark, d):
     return graph.code_to_tables(refs, known)
 
 
-@query(f"with {EDGES_SQL}, s as (select 'nation.' || n_nationkey as id, n_nationkey as rank from nation where n_nationkey < 3) select rank, target_id, type from s join edges on source_id = id union all select rank, source_id, type from s join edges on target_id = id")
+@query(f"with {EDGES_SQL}, s as (select 'nation.' || n_nationkey as id, n_nationkey as rank from nation) select rank, target_id, type from s join edges on source_id = id union all select rank, source_id, type from s join edges on target_id = id")
 def one_hop_expand(spark, d):
-    seeds = table(spark, d, "nation").filter("n_nationkey < 3").select(F.concat(F.lit("nation."), F.col("n_nationkey")).alias("id"), F.col("n_nationkey").alias("rank"))
+    seeds = table(spark, d, "nation").select(F.concat(F.lit("nation."), F.col("n_nationkey")).alias("id"), F.col("n_nationkey").alias("rank"))
     e = fk_edges(spark, d)
-    out = lambda a, b: e.join(F.broadcast(seeds), F.col(a) == F.col("id")).select("rank", F.col(b).alias("target_id"), "type")
+    out = lambda a, b: e.join(seeds, F.col(a) == F.col("id")).select("rank", F.col(b).alias("target_id"), "type")
     return out("source_id", "target_id").unionByName(out("target_id", "source_id"))
 
 
@@ -385,9 +383,9 @@ _CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
 _KEYS = rf"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{Nd}}_\-]+'), lambda w: length(w) >= 2), lambda w: list_concat({_TOKENS}, case when regexp_matches(w, '{_CJK}') then list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) else [] end))))"
 
 
-@query(f"with a as (select item_id as task_id, unnest({_KEYS}) as word from benchmark), b as (select distinct conv_id as set_id, unnest({_KEYS}) as word from conversations where turn = 0) select task_id, set_id, count(*)::bigint as words from a join b using (word) group by 1, 2 having count(*) >= 5")
+@query(f"with a as (select item_id as task_id, unnest({_KEYS}) as word from benchmark), b as (select distinct conv_id as set_id, unnest({_KEYS}) as word from conversations) select task_id, set_id, count(*)::bigint as words from a join b using (word) group by 1, 2 having count(*) >= 2")
 def task_match(spark, d):
-    return knowledge.task_match(table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), "text"), table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("set_id"), "text"), 5)
+    return knowledge.task_match(table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), "text"), table(spark, d, "conversations").select(F.col("conv_id").alias("set_id"), "text"))
 
 
 @query("select case when h.hash is null then 'gone' when p.pinned is null then 'unpinned' when p.pinned <> h.hash then 'drift' else 'ok' end as state, count(*)::bigint as n from documents e left join (select doc_id, quality as pinned from labels) p using (doc_id) left join (select doc_id, (n_chars % 2) as hash from documents where doc_id % 9 > 0) h using (doc_id) group by 1")
@@ -405,10 +403,10 @@ def repin_diff(spark, d):
     return knowledge.repin(side("quality", "doc_id % 4 > 0"), side("toxic", "doc_id % 4 < 3"))
 
 
-@query("with recursive n as (select 'nation' || n_nationkey as name, 'region' || n_regionkey as need from nation union all select 'customer' || c_custkey, 'nation' || c_nationkey from customer), r as (select 'customer' || c_custkey as name, 0 as depth from customer where c_custkey <= 5 union select need, depth + 1 from r join n using (name)) select name, min(depth)::int as depth from r group by 1")
+@query("with recursive n as (select 'nation' || n_nationkey as name, 'region' || n_regionkey as need from nation union all select 'customer' || c_custkey, 'nation' || c_nationkey from customer), r as (select 'customer' || c_custkey as name, 0 as depth from customer union select need, depth + 1 from r join n using (name)) select name, min(depth)::int as depth from r group by 1")
 def prereq_expand(spark, d):
     needs = table(spark, d, "nation").select(F.concat(F.lit("nation"), "n_nationkey").alias("name"), F.concat(F.lit("region"), "n_regionkey").alias("need")).unionByName(table(spark, d, "customer").select(F.concat(F.lit("customer"), "c_custkey").alias("name"), F.concat(F.lit("nation"), "c_nationkey").alias("need")))
-    return knowledge.expand(table(spark, d, "customer").filter("c_custkey <= 5").select(F.concat(F.lit("customer"), "c_custkey").alias("name")), needs)
+    return knowledge.expand(table(spark, d, "customer").select(F.concat(F.lit("customer"), "c_custkey").alias("name")), needs)
 
 
 @query("with e as (select user_id % 50 as set_name, event_type from events) select set_name, count(*) filter (event_type = 'view')::bigint as matched, count(*) filter (event_type = 'purchase')::bigint as resolved, count(*) filter (event_type = 'error')::bigint as drifted, count(*) filter (event_type = 'view') >= 3 and count(*) filter (event_type = 'purchase') = 0 as unread from e group by 1")
