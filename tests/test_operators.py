@@ -156,12 +156,6 @@ def test_prerequisites_with_a_cycle(spark):
     assert {tuple(r) for r in knowledge.expand(spark.createDataFrame([("a",)], "name string"), needs).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
-def test_markdown(spark):
-    text = "# Top\ntext\n## Same\n```\n# code\n```\n## Same\n### Deep `x`!\n"
-    out = formats.markdown_sections(spark.createDataFrame([("f", text)], "path string, content string")).orderBy("ordinal").collect()
-    assert [(r["anchor"], r["parent"], r["start_line"]) for r in out] == [("top", None, 1), ("same", "Top", 3), ("same-1", "Top", 7), ("deep-x", "Same", 8)]
-
-
 def test_sql_and_snapshots(spark):
     assert one(spark, formats.sql_tables, "SELECT * FROM a.b JOIN c", "from here") == [["a.b", "c"], []]
     doc = '{"schemas":{"public":{"tables":{"t":{"columns":[{"name":"id","type":"int"}]}}}}}'

@@ -16,7 +16,7 @@ VALUE_FLAGS = ("-A", "-B", "-C", "-m", "-g", "--glob", "-t", "--type", "-f", "--
 
 def shell_words(segment: Column) -> Column:
     """Words between blanks; quotes group and fall away, an open one reaches to the end."""
-    quoted = F.regexp_extract_all(segment, F.lit(r"""((?:'[^']*(?:'|\z)|"[^"]*(?:"|\z)|[^ \t'"])+)"""), F.lit(1))
+    quoted = F.regexp_extract_all(segment, F.lit(r"""((?:'[^']*(?:'|\z)|"[^"]*(?:"|\z)|[^ \t'"]++)+)"""), F.lit(1))
     return F.filter(F.transform(quoted, lambda w: F.regexp_replace(w, r"""'([^']*)(?:'|\z)|"([^"]*)(?:"|\z)""", "$1$2")), lambda w: w != "")
 
 

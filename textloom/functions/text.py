@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions."""
+"""Scalar text functions as Column expressions."""
 
 from __future__ import annotations
 
@@ -113,11 +113,6 @@ def simple_name(node_id: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(node_id, r"\(.*", ""), "#.*", ""), r"^.*\.", "")
 
 
-def slug(x: Column) -> Column:
-    """the anchor of a heading."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"[^\p{L}\p{Nd} _\-]", ""), " ", "-")
-
-
 def terms(query: Column) -> Column:
     """the whole query and its tokens, lower-cased and distinct, two bytes or more."""
     every = F.concat(F.array(query), tokenize(query))

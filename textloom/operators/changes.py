@@ -1,4 +1,4 @@
-"""Snapshots, diffs, change logs."""
+"""Snapshots, diffs, change logs."""
 
 from __future__ import annotations
 
@@ -56,3 +56,30 @@ def prune(log: DataFrame, ts: str, cutoff) -> DataFrame:
     """Rows kept, dropped and undated (dropped as well)."""
     t = F.col(ts)
     return log.agg(F.count_if(t >= cutoff).alias("kept"), F.count_if(t < cutoff).alias("dropped"), F.count_if(t.isNull()).alias("malformed"))
+
+
+def two_tracks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(node_id, track) of nodes (node_id, hash, start_byte, end_byte): removed, content for new or changed hashes, offsets where only places moved.
+
+    Places are taken over always; edges, tokens and vectors are made anew for ``content`` alone.  Nodes that stay as they are give no row.
+    """
+    a, b = (df.select("node_id", F.struct("hash", "start_byte", "end_byte").alias(c)) for df, c in ((old, "before"), (new, "after")))
+    track = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull() | ~F.col("before.hash").eqNullSafe(F.col("after.hash")), "content").when(F.col("before") != F.col("after"), "offsets")
+    return a.join(b, "node_id", "full").select("node_id", track.alias("track")).filter("track is not null")
+
+
+def rerouted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Paths whose route (path and any further columns) is new, gone or another."""
+    rest = [c for c in old.columns if c != "path"]
+    a, b = (df.select("path", F.struct(*rest).alias(c)) for df, c in ((old, "before"), (new.select("path", *rest), "after")))
+    return a.join(b, "path", "full").filter(~F.col("before").eqNullSafe(F.col("after"))).select("path")
+
+
+def files_to_resolve(hits: DataFrame, removed: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Paths of code whose edges into a schema may have moved: found for a changed name, or using a removed node.
+
+    ``hits`` and ``removed`` are (node_id), ``edges`` (source_id, target_id), ``nodes`` (node_id, path, kind).  Each side meets by a semi-join on its id.
+    """
+    users = edges.join(removed.select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("node_id"))
+    code = nodes.filter(F.col("kind").isin("class", "interface", "method", "function"))
+    return code.join(hits.select("node_id").unionByName(users), "node_id", "left_semi").select("path").distinct()

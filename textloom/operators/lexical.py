@@ -1,8 +1,8 @@
-"""Inverted index, BM25, exact tier, candidate pools and rank fusion."""
+"""Inverted index, BM25, exact tier, candidate pools and rank fusion."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -32,14 +32,59 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", te
     wanted = asked.select("term").distinct()
     hits = words.select(*[c for c in words.columns if c != "t"], F.explode("t").alias("term")).join(wanted, "term").groupBy("term", *[c for c in words.columns if c != "t"]).agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if where is not None:
-        hits = hits.filter("ok")
+    return _scored(hits if where is None else hits.filter("ok"), df, corpus, asked, k)
+
+
+def _scored(hits: DataFrame, df: DataFrame, corpus: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Hits (term, doc_id, tf, dl) meet their terms; corpus is one row of totals."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus)).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, "query_id", [F.desc("score"), F.asc("doc_id")], k)
 
 
+INDEX_VERSION = 1
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def save_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", buckets: int = 64) -> None:
+    """Store postings (term, doc_id, tf, dl), document frequencies and totals, so that searches read no text.
+
+    Postings lie in folders by hash of the term, sorted by term inside, so a search reads the folders and row groups of its
+    terms.  Each text is tokenised once.  The totals are written last: without them there is no index.
+    """
+    words = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.col(text)).alias("t")).withColumn("dl", F.coalesce(F.size("t"), F.lit(0)).cast("long"))
+    tf = words.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket(buckets))
+    # A hot term's rows spread over the tasks of its bucket.
+    spread = tf.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
+    spread.write.partitionBy("bucket").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    stored = spark.read.parquet(f"{path}/postings")
+    stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    # Texts that hold no word have no postings, yet count: their number comes from the ids alone.
+    held = stored.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("total"))
+    totals = docs.agg(F.count_if(F.col(text).isNotNull() | F.lit(True)).alias("n"), F.count(text).alias("known")).crossJoin(held)
+    totals.select("n", F.coalesce(F.nullif(F.col("total") / F.col("known"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"), F.lit(INDEX_VERSION).alias("version"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score) as ``bm25`` gives, from a stored index; ``allowed`` (doc_id) filters documents, not frequencies.
+
+    An index of another version finds nothing.
+    """
+    totals = spark.read.parquet(f"{path}/totals").filter(F.col("version") == INDEX_VERSION)
+    row = totals.select("buckets").first()
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
+    wanted = asked.select("term").distinct().withColumn("bucket", _bucket(row["buckets"] if row else 1))
+    hits, df = (spark.read.parquet(f"{path}/{name}").join(wanted, ["bucket", "term"], "left_semi").drop("bucket") for name in ("postings", "terms"))
+    if allowed is not None:
+        hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    return _scored(hits, df, totals, asked, k)
+
+
 def ranked(df: DataFrame, by: str | list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group with their rank."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)

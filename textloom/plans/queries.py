@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import changes, evaluate, graph, knowledge, lexical, resolve, search, usage, vector
-from ..sources import formats
+from ..sources import markdown, schemas, stored
 from .tables import EDGES_SQL, EVENTS_SQL, RUNS_SQL, TOKENS_SQL, WINDOWS_SQL, fk_edges, shape_sql, table, tool_log
 
 QUERIES: dict = {}
@@ -63,6 +65,17 @@ def bm25_batch(spark, d):
     return lexical.bm25(table(spark, d, "documents"), asked, 5).select("query_id", "rank", "doc_id", "score")
 
 
+_ITEMS = "select distinct item_id as query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> '')) as term from benchmark"
+
+
+@query(_bm25_sql(_ITEMS, 5))
+def bm25_indexed(spark, d):
+    path = f"{stored.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    lexical.save_index(table(spark, d, "documents"), path)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("query"))
+    return lexical.search_index(spark, path, asked, 5).select("query_id", "rank", "doc_id", "score")
+
+
 @query(_bm25_sql(_ASKED, 10, "d.lang = 'en'"))
 def filtered_search(spark, d):
     return lexical.bm25(table(spark, d, "documents"), _ask(spark, *WORDS), 10, where=F.col("lang") == "en").select("query_id", "rank", "doc_id", "score")
@@ -491,9 +504,28 @@ def root_hash(spark, d):
     return changes.root_hash(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("hash")))
 
 
-@query(None)
+_MD = r"""with lines as (select path, no, line from (select doc_id::varchar as path, string_split('# Doc' || chr(10) || '## Text' || chr(10) || text || chr(10) || '## Text' || chr(10) || '```' || chr(10) || '# no' || chr(10) || '```' || chr(10), chr(10)) as l from documents), unnest(l) with ordinality as t(line, no)),
+marked as (select *, sum(case when regexp_matches(line, '^ {0,3}(```|~~~)') then 1 else 0 end) over (partition by path order by no) % 2 as fenced from lines),
+heads as (select path, no, length(regexp_extract(line, '^ {0,3}(#{1,6})([ \t]|$)', 1))::int as level, trim(rtrim(trim(regexp_replace(line, '^ {0,3}#+', '')), '#')) as title from marked where fenced = 0 and regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)')),
+slugs as (select *, coalesce(nullif(replace(regexp_replace(lower(title), '[^\p{L}\p{Nd} _\-]', '', 'g'), ' ', '-'), ''), 'section') as slug from heads),
+named as (select *, row_number() over (partition by path order by no)::int as ordinal, slug || case when row_number() over same > 1 then '-' || (row_number() over same - 1) else '' end as anchor from slugs window same as (partition by path, slug order by no))
+select path, ordinal, level, title, anchor, no::int as start_line, coalesce((select arg_max(anchor, p.no) from named p where p.path = h.path and p.no < h.no and p.level < h.level), '') as parent from named h"""
+
+
+@query(_MD)
 def md_sections(spark, d):
-    return formats.markdown_sections(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# Doc\n## Text\n"), "text", F.lit("\n## Text\n```\n# no\n```\n")).alias("content")))
+    return markdown.markdown_sections(table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# Doc\n## Text\n"), "text", F.lit("\n## Text\n```\n# no\n```\n")).alias("content")))
+
+
+_DDL = "'create table app.s' || s_suppkey || ' (id bigint not null, ' || 'nation int references n' || s_nationkey || '(id)); create view v' || s_suppkey || ' as select * from s' || s_suppkey"
+
+
+@query("""select 'db.shop.app.s' || s_suppkey as node_id, 'table' as kind, 'id bigint,nation int' as params, 'db.shop.public.n' || s_nationkey as supers from supplier
+union all select 'db.shop.public.v' || s_suppkey, 'view', '', '' from supplier""")
+def ddl_nodes(spark, d):
+    files = table(spark, d, "supplier").select(F.lit("app.sql").alias("path"), F.expr(_DDL).alias("content"))
+    routed, _ = schemas.routes('{"datasources": {"shop": {"engine": "postgres", "sources": [{"path": "app.sql"}]}}}')
+    return schemas.schema_nodes(files, routed).select("node_id", "kind", F.array_join("params", ",").alias("params"), F.array_join("supers", ",").alias("supers"))
 
 
 _PIN_ASKED = "select distinct query_id, unnest(string_split(q, ' ')) as term from (values (0::bigint, '7'), (1::bigint, 'where is doc 7 doc7 or 9 doc9'), (2::bigint, 'the of nation')) t(query_id, q)"

@@ -1,14 +1,14 @@
-"""Readers that turn files into rows (S1-S3, S5, S22, S23; S11, S13 and W9 in part)."""
+"""Readers that turn files into rows (S1-S3, S5, S22, S23; S13 in part)."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let, slug
+from ..functions.text import let
 
 #: Languages by suffix, plain files by suffix and name, and folders and files never read.
 SUFFIXES = {".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".py": "python", ".go": "go", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".tsx": "tsx", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".md": "markdown", ".markdown": "markdown"}
@@ -42,26 +42,6 @@ def workspace(spark: SparkSession, root: str) -> DataFrame:
     return files.filter(admissible(F.col("path"), F.col("length"))).select("path", "length", F.decode("content", "UTF-8").alias("content"))
 
 
-def markdown_sections(files: DataFrame) -> DataFrame:
-    """(path, ordinal, level, title, anchor, start_line, parent) of headings outside fences.
-
-    Anchors that repeat in a file get -1, -2 in document order; the parent is the
-    nearest heading above with a smaller level.
-    """
-    lines = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("no", "line"))
-    w = Window.partitionBy("path").orderBy("no")
-    fence = F.sum(F.when(F.col("line").rlike("^ {0,3}(```|~~~)"), 1).otherwise(0)).over(w)
-    heads = lines.withColumn("open", fence % 2).filter((F.col("open") == 0) & F.col("line").rlike(r"^#{1,6}\s+\S"))
-    level = F.length(F.regexp_extract("line", "^(#+)", 1))
-    title = F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"\s*#*\s*$", "")
-    heads = heads.select("path", "no", level.alias("level"), title.alias("title"), slug(title).alias("slug"))
-    again = F.row_number().over(Window.partitionBy("path", "slug").orderBy("no")) - 1
-    above = F.collect_list(F.struct("level", "title")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    heads = heads.withColumn("again", again).withColumn("above", above)
-    parent = F.try_element_at(F.filter("above", lambda h: h["level"] < F.col("level")), F.lit(-1))["title"]
-    return heads.select("path", (F.row_number().over(w)).alias("ordinal"), "level", "title", F.when(F.col("again") > 0, F.concat_ws("-", "slug", F.col("again").cast("string"))).otherwise(F.col("slug")).alias("anchor"), (F.col("no") + 1).alias("start_line"), parent.alias("parent"))
-
-
 def sql_tables(text: Column) -> Column:
     """Names with their qualifiers, as written; ``referenced_tables`` has S22's rules: tables named after FROM, JOIN, INTO, UPDATE or TABLE in a SQL literal."""
     sql = text.rlike(r"(?i)\b(select|insert|update|delete|create)\b")
