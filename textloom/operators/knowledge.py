@@ -1,11 +1,11 @@
-"""Knowledge sets: roles, task matching, drift, prerequisites, budgets (J17-J20, P20, P21, A19, A20, T10, K1, K10; K3 without redirects)."""
+"""Knowledge sets: roles, task matching, drift, prerequisites, budgets (J17-J20, P20, P21, A19, A20, T10, K1-K3, K5, K10; the counts of K7)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_keys
+from ..functions.text import first_sentence, word_keys
 from ..sources.stored import stash
 
 
@@ -107,3 +107,78 @@ def nodes_drift(asked: DataFrame, pins: DataFrame, current: DataFrame) -> DataFr
     each = now.groupBy("node_id").agg(F.max("hash").alias("hash"), F.count("pinned").alias("pins"), F.bool_or(F.col("pinned") == F.col("hash")).alias("holds"))
     state = F.when(F.col("hash").isNull(), "gone").when(F.col("pins") == 0, "unpinned").when(F.col("holds"), "ok").otherwise("drift")
     return each.select("node_id", state.alias("state"))
+
+
+def entries_drift(entries: DataFrame, pins: DataFrame, current: DataFrame, redirects: DataFrame) -> DataFrame:
+    """K3: (set_name, node_id, redirected_to, state) of set entries: ok, drift, unpinned or gone.
+
+    ``pins`` are (set_name, node_id, hash, rename_key) by the id the set recorded, ``current`` (node_id, hash, rename_key)
+    and ``redirects`` (old_id, new_id), each id at most once and chains followed.  A section that only got another title is ok.
+    """
+    now = current.select(F.col("node_id").alias("at"), F.col("hash").alias("h"), F.col("rename_key").alias("r"))
+    moved = entries.select("set_name", "node_id").join(redirects.select(F.col("old_id").alias("node_id"), "new_id"), "node_id", "left").withColumn("at", F.coalesce("new_id", "node_id"))
+    known = pins.select("set_name", "node_id", "hash", "rename_key", F.lit(True).alias("pinned"))
+    met = moved.join(known, ["set_name", "node_id"], "left").join(now, "at", "left")
+    away = F.col("at") != F.col("node_id")
+    retitled = away & (F.coalesce("rename_key", F.lit("")) != "") & (F.col("rename_key") == F.col("r"))
+    state = F.when(F.col("h").isNull(), "gone").when(F.col("pinned").isNull(), "unpinned").when((F.col("hash") == F.col("h")) | retitled, "ok").otherwise("drift")
+    return met.select("set_name", "node_id", F.when(away, F.col("at")).alias("redirected_to"), state.alias("state"))
+
+
+#: How many terms a glossary holds.
+MOST_TERMS = 30
+
+
+def judge(terms: DataFrame, defined: DataFrame | None, glossary: DataFrame, least: int = 2, most: int = MOST_TERMS) -> DataFrame:
+    """K5: (canonical, contexts, findings): candidates (canonical, aliases, evidence) and the rules they break.
+
+    ``cap``: the glossary (canonical) is full and lacks the term; ``evidence``: cited in fewer than ``least``
+    files; ``identifier``: the term or an alias is a name that code defines (word).  Without an index (None) the last isn't judged.
+    """
+    files = F.array_distinct(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.substring_index(e, "#", 1)))
+    each = terms.withColumn("contexts", F.size(files).cast("long"))
+    full = glossary.agg((F.count(F.lit(1)) >= most).alias("full"))
+    each = each.join(glossary.select("canonical").distinct().withColumn("held", F.lit(True)), "canonical", "left").crossJoin(F.broadcast(full))
+    if defined is not None:
+        words = terms.select("canonical", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("word"))
+        hit = words.join(defined.select("word"), "word", "left_semi").select("canonical").distinct().withColumn("named", F.lit(True))
+        each = each.join(hit, "canonical", "left")
+    named = F.col("named").isNotNull() if defined is not None else F.lit(False)
+    found = F.array(F.when(F.col("full") & F.col("held").isNull(), "cap"), F.when(F.col("contexts") < least, "evidence"), F.when(named, "identifier"))
+    return each.select("canonical", "contexts", F.array_compact(found).alias("findings"))
+
+
+def propose(queue: DataFrame, fresh: DataFrame) -> DataFrame:
+    """K5: the queue (canonical, seen, evidence, aliases, body) with fresh candidates (no ``seen``): evidence and aliases add up, a new text replaces the old."""
+    every = queue.select("canonical", "seen", "evidence", "aliases", "body", F.lit(0).alias("new")).unionByName(fresh.select("canonical", F.lit(1).alias("seen"), "evidence", "aliases", "body", F.lit(1).alias("new")))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    body = F.max(F.when(F.coalesce("body", F.lit("")) != "", F.struct("new", "body")))["body"]
+    return every.groupBy("canonical").agg(F.sum("seen").alias("seen"), union("evidence"), union("aliases"), F.coalesce(body, F.lit("")).alias("body"))
+
+
+def manifest_sets(sets: DataFrame) -> DataFrame:
+    """K2: (name, node_id, summary, entries, groups) of sets as ``knowledge_sets`` reads them; groups with a title only."""
+    size = lambda g: F.size(g["entries"])
+    groups = F.transform(F.filter("groups", lambda g: g["title"] != ""), lambda g: F.struct(g["title"].alias("title"), g["node_id"].alias("node_id"), size(g).alias("entries")))
+    summary = F.when(F.coalesce("description", F.lit("")) != "", F.col("description")).otherwise(F.col("intro"))
+    return sets.select("name", F.col("path").alias("node_id"), first_sentence(summary).alias("summary"), F.aggregate("groups", F.lit(0), lambda n, g: n + size(g)).alias("entries"), groups.alias("groups"))
+
+
+def manifest_terms(terms: DataFrame) -> DataFrame:
+    """K2: (canonical, aliases, definition, confusions) of terms as ``terms`` reads them."""
+    return terms.select("canonical", "aliases", first_sentence(F.col("body")).alias("definition"), "confusions")
+
+
+def queue_report(proposals: DataFrame, events: DataFrame) -> DataFrame:
+    """K7: (section, name, n): awaiting proposals by how often they were seen, sets offered and never read, nodes served after a drift, and tasks nothing matched.
+
+    ``events`` are (kind, sets, node_id, task).
+    """
+    by = lambda kind, c: events.filter(F.col("kind") == kind).groupBy(F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("name is not null")
+    unread = friction(events).filter("unread").select(F.col("set_name").alias("name"), F.col("matched").alias("n"))
+    parts = {"awaiting": proposals.select(F.col("canonical").alias("name"), F.col("seen").cast("long").alias("n")), "unread": unread, "drifted": by("drifted", "node_id"), "misses": by("miss", "task")}
+    out = None
+    for section, rows in parts.items():
+        rows = rows.select(F.lit(section).alias("section"), "name", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -62,12 +62,17 @@ def save_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     spread = tf.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("bucket", "term")
     spread.write.partitionBy("bucket").parquet(f"{path}/postings")
     spark = docs.sparkSession
-    stored = spark.read.parquet(f"{path}/postings")
+    stored = _stored(spark, path, "postings", tf.schema["doc_id"].dataType.simpleString())
     stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    # Texts that hold no word have no postings, yet count: their number comes from the ids alone.
+    # Texts that hold no word have no postings, yet count.
     held = stored.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("total"))
-    totals = docs.agg(F.count_if(F.col(text).isNotNull() | F.lit(True)).alias("n"), F.count(text).alias("known")).crossJoin(held)
-    totals.select("n", F.coalesce(F.nullif(F.col("total") / F.col("known"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"), F.lit(INDEX_VERSION).alias("version"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
+    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.count(text).alias("known")).crossJoin(held)
+    totals.select("n", F.coalesce(F.nullif(F.col("total") / F.col("known"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"), F.lit(INDEX_VERSION).alias("version"), F.lit(buckets).alias("buckets"), F.lit(tf.schema["doc_id"].dataType.simpleString()).alias("id_type")).write.parquet(f"{path}/totals")
+
+
+def _stored(spark: SparkSession, path: str, name: str, id_type: str) -> DataFrame:
+    shape = f"doc_id {id_type}, dl long, term string, tf long, bucket int" if name == "postings" else "term string, df long, bucket int"
+    return spark.read.schema(shape).parquet(f"{path}/{name}")
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -76,10 +81,12 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, all
     An index of another version finds nothing.
     """
     totals = spark.read.parquet(f"{path}/totals").filter(F.col("version") == INDEX_VERSION)
-    row = totals.select("buckets").first()
+    row = totals.first()
+    if row is None:
+        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id string, score double, rank int")
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
-    wanted = asked.select("term").distinct().withColumn("bucket", _bucket(row["buckets"] if row else 1))
-    hits, df = (spark.read.parquet(f"{path}/{name}").join(wanted, ["bucket", "term"], "left_semi").drop("bucket") for name in ("postings", "terms"))
+    wanted = asked.select("term").distinct().withColumn("bucket", _bucket(row["buckets"]))
+    hits, df = (_stored(spark, path, name, row["id_type"]).join(wanted, ["bucket", "term"], "left_semi").drop("bucket") for name in ("postings", "terms"))
     if allowed is not None:
         hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
     return _scored(hits, df, totals, asked, k)

@@ -71,7 +71,7 @@ _ITEMS = "select distinct item_id as query_id, unnest(list_filter(regexp_split_t
 @query(_bm25_sql(_ITEMS, 5))
 def bm25_indexed(spark, d):
     path = f"{stored.shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    lexical.save_index(table(spark, d, "documents"), path)
+    lexical.save_index(table(spark, d, "documents"), path, buckets=16)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("query"))
     return lexical.search_index(spark, path, asked, 5).select("query_id", "rank", "doc_id", "score")
 
@@ -528,6 +528,31 @@ def ddl_nodes(spark, d):
     return schemas.schema_nodes(files, routed).select("node_id", "kind", F.array_join("params", ",").alias("params"), F.array_join("supers", ",").alias("supers"))
 
 
+@query("""with now as (select c_custkey as id, c_acctbal as h from customer where c_custkey % 7 > 0), pin as (select o_custkey as set_name, o_custkey as id, case when o_orderkey % 2 = 0 then c_acctbal else 0 end as h, o_orderkey from orders join customer on o_custkey = c_custkey qualify row_number() over (partition by o_custkey order by o_orderkey) = 1),
+e as (select c_custkey as id, case when c_custkey % 5 = 0 then c_custkey + 1 else c_custkey end as at from customer)
+select case when now.h is null then 'gone' when pin.id is null then 'unpinned' when pin.h = now.h or (e.at <> e.id and pin.h = 0) then 'ok' else 'drift' end as state, count(*)::bigint as n from e left join now on e.at = now.id left join pin on e.id = pin.id group by 1""")
+def entries_drift(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_acctbal").alias("hash"))
+    first = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("node_id")).agg(F.min("o_orderkey").alias("o"))
+    pins = first.join(c, "node_id").select(F.col("node_id").alias("set_name"), "node_id", F.when(F.col("o") % 2 == 0, F.col("hash")).otherwise(0).alias("hash"))
+    pins = pins.withColumn("rename_key", F.when(F.col("hash") == 0, "same").otherwise("other"))
+    moved = c.filter("node_id % 5 = 0").select(F.col("node_id").alias("old_id"), (F.col("node_id") + 1).alias("new_id"))
+    entries = c.select(F.col("node_id").alias("set_name"), "node_id")
+    return knowledge.entries_drift(entries, pins, c.filter("node_id % 7 > 0").withColumn("rename_key", F.lit("same")), moved).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with e as (select s_nationkey, count(distinct s_suppkey % 4) as contexts from supplier group by 1)
+select n_name as canonical, coalesce(contexts, 0)::bigint as contexts, concat_ws(',', case when n_nationkey % 6 = 0 then 'cap' end, case when coalesce(contexts, 0) < 2 then 'evidence' end, case when n_regionkey::varchar in (select r_regionkey::varchar from region where r_regionkey > 2) then 'identifier' end) as findings
+from nation left join e on n_nationkey = s_nationkey""")
+def judge_terms(spark, d):
+    n = table(spark, d, "nation")
+    cited = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(F.concat(F.lit("f"), F.col("s_suppkey") % 4, F.lit("#"), F.col("s_suppkey"))).alias("evidence"))
+    terms = n.join(cited, "n_nationkey", "left").select(F.col("n_name").alias("canonical"), F.array(F.col("n_regionkey").cast("string")).alias("aliases"), "evidence")
+    defined = table(spark, d, "region").filter("r_regionkey > 2").select(F.col("r_regionkey").cast("string").alias("word"))
+    glossary = n.filter("n_nationkey % 6 > 0").select(F.col("n_name").alias("canonical"))
+    return knowledge.judge(terms, defined, glossary, most=2).select("canonical", "contexts", F.array_join("findings", ",").alias("findings"))
+
+
 _PIN_ASKED = "select distinct query_id, unnest(string_split(q, ' ')) as term from (values (0::bigint, '7'), (1::bigint, 'where is doc 7 doc7 or 9 doc9'), (2::bigint, 'the of nation')) t(query_id, q)"
 
 
