@@ -15,6 +15,27 @@ SAME, NEAR, GLOBAL = 0.95, 0.90, 0.80
 EXACT, LOGICAL, TOKEN = 1.0, 0.9, 0.8
 
 
+#: Ids in a block, about.
+BLOCK = 1000
+
+
+def blocks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, block, members): the member column of each class in lists of about BLOCK, dealt by hash."""
+    counts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("of"))
+    dealt = rows.join(counts, by).withColumn("block", F.pmod(F.xxhash64("member"), F.col("of")))
+    return dealt.groupBy(*by, "block").agg(F.collect_list("member").alias("members"))
+
+
+def tiles(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, left, right): blocks of the same class side by side, spread evenly, to be exploded where they lie.
+
+    Lists move, not pairs: a tile of up to BLOCK x BLOCK pairs holds 2 x BLOCK members, so a
+    class of any size falls to many tasks.
+    """
+    both = left.select(*by, F.col("block").alias("i"), F.col("members").alias("left")).join(right.select(*by, F.col("block").alias("j"), F.col("members").alias("right")), by)
+    return both.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "i", "j").drop("i", "j")
+
+
 def resolve(calls: DataFrame, definitions: DataFrame, tier: Column, key: str = "name", most: int = 5) -> DataFrame:
     """J4 without the arity range: (source_id, target_id, confidence) of the strongest non-empty tier of each call.
 
