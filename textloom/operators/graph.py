@@ -40,14 +40,45 @@ def resolve(calls: DataFrame, definitions: DataFrame, tier: Column, key: str = "
     """J4 without the arity range: (source_id, target_id, confidence) of the strongest non-empty tier of each call.
 
     ``tier`` is 1 (same package), 2 (imported) or 3 (global) of a joined pair; more
-    than ``most`` global candidates drop all of them.  Self edges go.
+    than ``most`` global candidates drop all of them.  Self edges go.  ``tier`` may use any
+    column of either side but the ids: calls and definitions alike in all others are a
+    class, tiers and counts are settled on pairs of classes, and pairs of ids are made
+    last, in tiles that don't move.  Only what may come twice is grouped by pair.
     """
-    pairs = calls.join(definitions, key).withColumn("tier", tier).filter("source_id != target_id")
+    of = lambda df, name, *ids: df.select(*ids, F.struct(key, *(c for c in df.columns if c not in (*ids, key))).alias(name))
+    calls = of(calls.filter(F.col(key).isNotNull() & F.col("source_id").isNotNull()), "_asking", "call_id", "source_id")
+    known = of(definitions.filter(F.col(key).isNotNull() & F.col("target_id").isNotNull()), "_asked", "target_id")
+    sides = calls.select("_asking").distinct().select("_asking", "_asking.*").join(known.groupBy("_asked").agg(F.count(F.lit(1)).alias("_n")).select("_asked", "_n", "_asked.*"), key)
+    links = stash(sides.select("_asking", "_asked", "_n", tier.alias("_tier")).filter("_tier is not null"), "links")
+
+    counts = links.groupBy("_asking", "_tier").agg(F.sum("_n").alias("_n"))
+    call = F.struct("call_id", "source_id", "_asking")  # null ids are equal inside
+    rows = calls.groupBy(call.alias("_call")).agg(F.count(F.lit(1)).alias("_times")).select("_call", "_times", "_call._asking")
+    own = calls.distinct().join(known, (F.col("source_id") == F.col("target_id")) & (F.col(f"_asking.{key}") == F.col(f"_asked.{key}"))).select(call.alias("_call"), "_asking.*", F.col("_asked"))
+    own = own.select("_call", *(c for c in own.columns if c not in ("_call", "_asked", key)), "_asked.*").withColumn("_tier", tier).groupBy("_call", "_tier").agg(F.count(F.lit(1)).alias("_self"))
+    rows = rows.join(counts, "_asking").join(own, ["_call", "_tier"], "left").withColumn("_n", (F.col("_n") - F.coalesce("_self", F.lit(0))) * F.col("_times")).filter("_n > 0").select("_call.*", "_tier", "_n")
     by_call = Window.partitionBy("call_id")
-    best = pairs.withColumn("best", F.min("tier").over(by_call)).filter("tier = best").withColumn("n", F.count(F.lit(1)).over(by_call))
-    kept = best.filter((F.col("tier") < 3) | (F.col("n") <= most))
-    confidence = F.when(F.col("tier") == 1, SAME).when(F.col("tier") == 2, NEAR).otherwise(GLOBAL)
-    return kept.groupBy("source_id", "target_id").agg(F.max(confidence).alias("confidence"))
+    best = rows.withColumn("_best", F.min("_tier").over(by_call)).filter("_tier = _best").withColumn("_all", F.sum("_n").over(by_call))
+    kept = best.filter((F.col("_tier") < 3) | (F.col("_all") <= most)).select("source_id", "_asking", "_tier").distinct()
+    kept = stash(kept.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy("source_id", f"_asking.{key}")) > 1), "kept")
+    known = known.distinct()
+    repeated = stash(known.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("target_id"), "repeated")
+
+    def pairs(asking: DataFrame, asked: DataFrame) -> DataFrame:
+        left = blocks(asking.select("_asking", "_tier", F.col("source_id").alias("member")), ["_asking", "_tier"]).join(links.drop("_n"), ["_asking", "_tier"])
+        left = left.select("_asked", F.xxhash64("_asking", "_tier", "block").alias("block"), F.struct("_tier", "members").alias("members"))
+        made = tiles(left, blocks(asked.select("_asked", F.col("target_id").alias("member")), ["_asked"]), ["_asked"])
+        one = made.select("left.members", F.col("left._tier").alias("tier"), F.explode("right").alias("target_id"))
+        confidence = F.when(F.col("tier") == 1, SAME).when(F.col("tier") == 2, NEAR).otherwise(GLOBAL)
+        return one.select(F.explode("members").alias("source_id"), "target_id", confidence.alias("confidence")).filter("source_id != target_id")
+
+    # A pair can come twice from a source that asks for a name in several ways, or a target that stands in several rows.
+    several, again = not kept.filter("_many").isEmpty(), not repeated.isEmpty()
+    out = pairs(kept.filter("not _many"), known.join(repeated, "target_id", "left_anti") if again else known)
+    twice = ([pairs(kept.filter("_many"), known)] if several else []) + ([pairs(kept.filter("not _many"), known.join(repeated, "target_id", "left_semi"))] if again else [])
+    if twice:
+        out = out.unionByName((twice[0].unionByName(twice[1]) if len(twice) > 1 else twice[0]).groupBy("source_id", "target_id").agg(F.max("confidence").alias("confidence")))
+    return out
 
 
 def database_references(refs: DataFrame, definitions: DataFrame) -> DataFrame:
