@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.operators import graph, resolve
+from textloom.operators import graph, lexical, resolve
 
 
 def moved(spark, make):
@@ -87,3 +87,41 @@ def test_tiers_move_no_pairs(spark):
     rows, records = moved(spark, lambda: graph.resolve(calls, known, TIER()))
     assert len(set(map(tuple, rows))) == len(rows) == 40000 and {r["confidence"] for r in rows} == {0.95}
     assert records < 10000
+
+
+def common(spark):
+    """Documents and queries that share all their words."""
+    words = " ".join("a" * i for i in range(1, 21))
+    return spark.createDataFrame([(i, words) for i in range(300)], "doc_id long, text string"), spark.createDataFrame([(q, words) for q in range(40)], "query_id long, query string")
+
+
+def best(rows):
+    return sorted((r["query_id"], r["rank"], r["doc_id"]) for r in rows)
+
+
+def test_search_moves_no_scores(spark):
+    docs, asked = common(spark)
+    rows, records = moved(spark, lambda: lexical.bm25(docs, asked, 2))
+    assert best(rows) == [(q, i + 1, i) for q in range(40) for i in range(2)] and records < 3000
+
+
+def test_index_moves_lists_and_no_scores(spark, tmp_path):
+    docs, asked = common(spark)
+    path = f"file://{tmp_path}/index"
+    _, records = moved(spark, lambda: lexical.save_index(docs.coalesce(1), path, buckets=2) or docs.limit(0))
+    assert records < 1000
+    rows, records = moved(spark, lambda: lexical.search_index(spark, path, asked, 2))
+    assert best(rows) == [(q, i + 1, i) for q in range(40) for i in range(2)] and records < 8000
+
+
+def test_odd_documents(spark, tmp_path, monkeypatch):
+    rows = [("b", "x y"), ("a", "x y"), ("c", None), ("d", ""), ("e", "x"), ("e", "x z"), (None, "y y y")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    asked = spark.createDataFrame([("q", "x z"), ("r", "y"), ("s", "nothing"), (None, "x"), ("t", None), ("r", "y")], "query_id string, query string")
+    monkeypatch.setattr(lexical, "PACKED", 2)
+    path = f"file://{tmp_path}/index"
+    lexical.save_index(docs, path, buckets=2)
+    tell = lambda df: sorted(((r["query_id"], r["rank"], r["doc_id"]) for r in df.collect()), key=repr)
+    want = sorted([("q", 1, "e"), ("q", 2, "a"), ("q", 3, "b"), ("r", 1, None), ("r", 2, "a"), ("r", 3, "b"), (None, 1, "e"), (None, 2, "a"), (None, 3, "b")], key=repr)
+    assert tell(lexical.bm25(docs, asked, 3)) == tell(lexical.search_index(spark, path, asked, 3)) == want
+    assert lexical.bm25(docs, asked.limit(0), 3).count() == lexical.bm25(docs.limit(0), asked, 3).count() == 0
